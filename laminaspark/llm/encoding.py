@@ -20,15 +20,16 @@ QUERY_BYTES, REMEMBERED = 1 << 19, 120_000
 
 #: A row of run is a token at a byte position of a word; -1 marks a position that a merge took. Each step looks only at words
 #: that the last step changed: among neighbouring tokens that the merge table joins, the least rank, leftmost first, is merged.
+#: A candidate is one number: rank, position and distance to the next token, in {bits} bits each for the latter two.
 CONTRACT = """
 WITH RECURSIVE run(w, p, t) USING KEY (w, p) AS (
     SELECT w, p, t FROM pos
   UNION
-    SELECT w, unnest([best.p, best.np]), unnest([best.m, -1]) FROM (
-        SELECT w, arg_min({'p': p, 'np': np, 'm': m}, m::BIGINT * 4294967296 + p) AS best
-        FROM (SELECT w, p, t, lead(t) OVER o AS nt, lead(p) OVER o AS np FROM recurring.run
-              WHERE t >= 0 AND w IN (SELECT w FROM run) WINDOW o AS (PARTITION BY w ORDER BY p))
-        JOIN merges ON pair = t::BIGINT * 1048576 + nt GROUP BY w))
+    SELECT w, unnest([(best >> {bits}) & {ones}, ((best >> {bits}) & {ones}) + (best & {ones})])::INT, unnest([best >> (2 * {bits}), -1])::INT FROM (
+        SELECT w, min((m::{number} << (2 * {bits})) | (p::{number} << {bits}) | (np - p)) AS best
+        FROM (SELECT w, p, t, lead(w) OVER o AS nw, lead(t) OVER o AS nt, lead(p) OVER o AS np FROM recurring.run
+              WHERE t >= 0 AND w IN (SELECT w FROM run) WINDOW o AS (ORDER BY w, p))
+        JOIN merges ON pair = t::BIGINT * 1048576 + nt WHERE nw = w GROUP BY w))
 SELECT w, p, t FROM run WHERE t >= 0
 """
 #: Ordered aggregation: a word's ids, and its bytes from the ids alone.
@@ -57,8 +58,9 @@ class Bpe:
         buffer = np.frombuffer(b"".join(words), dtype=np.uint8)
         w = np.repeat(np.arange(len(words), dtype=np.int32), n)
         p = (np.arange(len(buffer)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        bits, number = (23, "BIGINT") if n.max() < 1 << 23 else (40, "HUGEINT")
         self.db.register("pos", pa.table({"w": w, "p": p, "t": self.byte[buffer]}))
-        self.db.execute(f"CREATE OR REPLACE TEMP TABLE done AS {CONTRACT}")
+        self.db.execute(f"CREATE OR REPLACE TEMP TABLE done AS {CONTRACT.format(bits=bits, ones=(1 << bits) - 1, number=number)}")
         got = self.db.sql(GATHER).to_arrow_table()
         self.db.unregister("pos")
         ids = got.column("ids").combine_chunks()
