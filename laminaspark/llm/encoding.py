@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from laminaspark.llm.common import over_batches, read, slices
 
-#: Words that one query contracts, by bytes; words that a task remembers in each of two generations.
-QUERY_BYTES, REMEMBERED = 1 << 19, 120_000
+#: Characters of the words that one query contracts; words after which a task starts a new generation of two (a slice of
+#: texts may add its own words to that).
+QUERY_CHARS, REMEMBERED = 1 << 17, 350_000
 
 #: A row of run is a token at a byte position of a word; -1 marks a position that a merge took. Each step looks only at words
 #: that the last step changed: among neighbouring tokens that the merge table joins, the least rank, leftmost first, is merged.
@@ -49,8 +50,10 @@ class Bpe:
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.now: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        # Ids and decoded bytes by word: of the words since the last turn, and of those before it.
+        self.ids: dict[str, bytes] = {}
+        self.decoded: dict[str, bytes] = {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def contract(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """For each word (not empty) its ids as little-endian unsigned 32-bit integers, and what they decode to."""
@@ -67,23 +70,31 @@ class Bpe:
         flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy()
         return [(flat[4 * a : 4 * b], bytes.fromhex(h)) for a, b, h in zip(ends, ends[1:], got.column("hex").to_pylist(), strict=False)]
 
-    def know(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """All of these words, by what is remembered and else by queries of a bounded size."""
-        found = {w: x for w in words if (x := self.now.get(w) or self.old.get(w))}
-        new, used = [], 0
-        for w in sorted(words - found.keys(), key=len):  # words of like length settle in like numbers of steps
-            new.append(w)
-            used += len(w) * 2
-            if used > QUERY_BYTES:
-                found |= zip(new, self.contract([x.encode() for x in new]), strict=True)
-                new, used = [], 0
-        if new:
-            found |= zip(new, self.contract([x.encode() for x in new]), strict=True)
-        short = {w: x for w, x in found.items() if len(w) <= 64}
-        if len(self.now) + len(short) > REMEMBERED:
-            self.old, self.now = self.now, {}
-        self.now |= short
-        return found
+    def know(self, texts: list[list[str]]) -> None:
+        """Makes ids and decoded hold all words of these texts: by what is remembered and else by queries of a bounded size."""
+        if len(self.ids) > REMEMBERED:
+            self.old, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
+        new: set[str] = set()
+        for words in texts:
+            new.update(words)
+        new.difference_update(self.ids)
+        ids, decoded = self.old
+        for w in new.intersection(ids):
+            self.ids[w], self.decoded[w] = ids.pop(w), decoded.pop(w)
+        new.difference_update(self.ids)
+        part, used = [], 0
+        for w in sorted(new, key=len):  # words of like length settle in like numbers of steps
+            part.append(w)
+            used += len(w)
+            if used > QUERY_CHARS:
+                self.learn(part)
+                part, used = [], 0
+        if part:
+            self.learn(part)
+
+    def learn(self, words: list[str]) -> None:
+        for w, (ids, decoded) in zip(words, self.contract([w.encode() for w in words]), strict=True):
+            self.ids[w], self.decoded[w] = ids, decoded
 
 
 def ranks_of(name: str) -> dict[bytes, int]:
@@ -101,12 +112,11 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", wit
 
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [pattern.findall(t) if t else [] for t in batch.column("text").to_pylist()]
-            known = bpe.know(set().union(*texts))
+            bpe.know(texts)
             out: list[tuple] = []
             for doc_id, words in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                both = [known[w] for w in words]
-                ids = b"".join([x for x, _ in both])
-                row = (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join([x for _, x in both])).hexdigest())
+                ids = b"".join(map(bpe.ids.__getitem__, words))
+                row = (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join(map(bpe.decoded.__getitem__, words))).hexdigest())
                 out.append((*row, np.frombuffer(ids, "<u4").astype(np.int32)) if with_ids else row)
             kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32()))]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), kinds, strict=False)], names=[n for n, _ in kinds[: 4 + with_ids]])
