@@ -50,7 +50,7 @@ def staged(df: DataFrame) -> DataFrame:
     costs a read and no work is done twice. Rows and their order inside a file stay as they were written."""
     spark = df.sparkSession
     at = f"{work_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.parquet(at, compression="zstd")
     app = spark.sparkContext.applicationId
     if app not in _staged:
         _staged[app] = []

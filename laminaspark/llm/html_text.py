@@ -277,7 +277,10 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     salted = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     around = parsed.select("row", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["path"])))).alias("subtree"))
     removed = around.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(salted, ["host", "subtree", "salt"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
-    joined = parsed.select("page_id", "url", "row", "blocks").join(removed, "row", "left")
+    # Text moves only for pages with text inside a candidate; the others lose nothing and stay where they are.
+    inside = F.exists("blocks", lambda b: F.size(b["path"]) > 0)
+    plain = parsed.where(~inside).select("page_id", "url", "blocks", F.lit(None).cast("array<long>").alias("gone"))
+    joined = plain.unionByName(parsed.where(inside).select("page_id", "url", "row", "blocks").join(removed, "row", "left").drop("row"))
     kept = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["path"], F.col("gone")))
     text = F.concat_ws("\n\n", F.transform(kept, lambda b: b["text"]))
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
