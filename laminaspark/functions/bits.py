@@ -18,14 +18,14 @@ def little_endian(data: Column, position: int, width: int) -> Column:
 
 
 def bit_text(data: Column, first: int, n: int) -> Column:
-    """Bits of `n` bytes from a position, as a text of 0 and 1."""
-    return F.concat(*(F.lpad(F.bin(byte_at(data, first + k)), 8, "0") for k in range(n)))
+    """Bits of `n` bytes from a position, as a text of 0 and 1; bytes past the end as zeros."""
+    return F.concat(*(F.coalesce(F.lpad(F.bin(byte_at(data, first + k)), 8, "0"), F.lit("0" * 8)) for k in range(n)))
 
 
 def bits(data: Column, first: int, n: int) -> Column:
     """`n` bits from bit `first` (most significant first) as a number."""
     lo, hi = first // 8, (first + n - 1) // 8
-    return F.conv(F.substring(bit_text(data, lo + 1, hi - lo + 1), first - 8 * lo + 1, n), 2, 10).cast("int")
+    return F.when(F.octet_length(data) > hi, F.conv(F.substring(bit_text(data, lo + 1, hi - lo + 1), first - 8 * lo + 1, n), 2, 10).cast("int"))
 
 
 def vp9_header(data: Column) -> Column:
@@ -40,7 +40,7 @@ def vp9_header(data: Column) -> Column:
     # After the colour space: RGB has a reserved bit in profile 1; others a range bit and, in profile 1, three more bits.
     at = F.when(space == 7, F.when(profile == 1, 36).otherwise(35)).otherwise(F.when(profile == 1, 39).otherwise(36))
     tail = bit_text(data, 5, 6)
-    number = lambda skip: F.conv(F.substr(tail, at - 32 + 1 + skip, F.lit(16)), 2, 10).cast("int") + 1
+    number = lambda skip: F.when(F.octet_length(data) * 8 >= at + skip + 16, F.conv(F.substr(tail, at - 32 + 1 + skip, F.lit(16)), 2, 10).cast("int") + 1)
     good = key & sync & marker
     return F.struct(
         marker.alias("marker_ok"), profile.alias("profile"), existing.alias("show_existing"), (key & marker).alias("key"), (existing | (bits(data, 6, 1) == 1)).alias("shown"), F.when(key, sync).alias("sync_ok"),

@@ -160,7 +160,7 @@ def scan_binary(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for path_, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                header = Header.unpack(content[: HEADER.size])
+                header = Header.unpack(content)
                 rows = [(path_, k, at, size, c.frame_index, c.flags) for k, (at, size, c) in enumerate(walk(io.BytesIO(content), header.cau_offset, header.index_offset))]
                 names = ("path", "k", "offset", "size", "frame_index", "flags")
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=pa.schema([("path", pa.string()), *((n, pa.int64()) for n in names[1:])]))
