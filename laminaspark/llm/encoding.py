@@ -131,7 +131,7 @@ def decode(ids: list[int], vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> b
     table = {r: b for b, r in ranks_of(vocabulary).items()}
     db = duckdb.connect(config={"threads": 1})
     db.register("given", pa.table({"p": pa.array(range(len(ids)), pa.int64()), "hex": [table[i].hex() for i in ids]}))
-    return bytes.fromhex(db.sql("SELECT string_agg(hex, '' ORDER BY p) FROM given").fetchone()[0] or "")
+    return bytes.fromhex(db.sql("SELECT string_agg(hex, '' ORDER BY p) FROM given").fetchall()[0][0] or "")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
