@@ -60,8 +60,9 @@ def entry_table(caus: DataFrame, layers: DataFrame) -> DataFrame:
     first = each.withColumn("_n", F.row_number().over(Window.partitionBy("k", "layer_index").orderBy("pos"))).where("_n = 1").drop("_n")
     known = first.join(few(layers.where("kind_name = 'video'")), "layer_index")
     flag = F.col("frame_flags").bitwiseAND(F.lit(KEY)) == KEY
-    # A packet that can't be read counts as having the key-ness that its flag claims.
-    real = lambda p: F.when(F.coalesce(F.col(f"{p}.marker_ok"), F.lit(False)), F.col(f"{p}.key")).otherwise(flag)
+    # A packet that can't be read, or is another codec's, counts as having the key-ness that its flag claims.
+    vp9 = F.col("codec").startswith("vp09")
+    real = lambda p: F.when(vp9 & F.coalesce(F.col(f"{p}.marker_ok"), F.lit(False)), F.col(f"{p}.key")).otherwise(flag)
     return known.withColumns({"has_color": F.col("color_bytes") > 0, "has_alpha_data": F.col("alpha_bytes") > 0, "active": (F.col("start_frame") <= F.col("frame_index")) & (F.col("frame_index") < F.col("end_frame")), "flag_key": flag, "color_key": real("c"), "alpha_key": real("a")})
 
 
@@ -88,7 +89,7 @@ def entries(caus: DataFrame, layers: DataFrame) -> list[DataFrame]:
     profile = codec_profile(F.col("codec"))
     for plane, has, wanted in (("c", c_there, F.coalesce(profile, F.lit(0))), ("a", a_there, F.lit(0))):
         p = lambda name, plane=plane: F.col(f"{plane}.{name}")
-        there = frame & has
+        there = frame & has & F.col("codec").startswith("vp09")
         ok = there & F.coalesce(p("marker_ok"), F.lit(False)) & F.coalesce(p("sync_ok"), F.lit(True))
         key = ok & p("key")
         faults = {"unreadable packet": there & ~ok, "key-ness contradicts the flag": ok & (p("key") != F.col("flag_key")), "shows no frame": ok & ~p("shown"), "key frame has another size": key & ((p("width") != F.col("coded_width")) | (p("height") != F.col("coded_height"))), "profile contradicts the codec": ok & (p("profile") != wanted)}

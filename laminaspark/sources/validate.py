@@ -6,7 +6,7 @@ import json
 import math
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +68,7 @@ def parse_meta(raw: bytes) -> dict:
     return doc
 
 
-def meta_issues(m: dict, resource, room: int) -> Iterator[Found]:
+def meta_issues(m: dict, resource, room: int, codecs: frozenset[str] = frozenset()) -> Iterator[Found]:
     """The rules of the metadata; those without which frames can't be judged are fatal."""
     error = lambda text, code="META": (code, text, None, "error")
 
@@ -113,7 +113,7 @@ def meta_issues(m: dict, resource, room: int) -> Iterator[Found]:
         if not isinstance(x.get("visible"), bool):
             yield error(name("visible"))
         if x["kind"] == "video":
-            yield from (error(name(t)) for t in _video_faults(x))
+            yield from (error(name(t)) for t in _video_faults(x, codecs))
             need(isinstance(x.get("has_alpha"), bool), name("has_alpha"))
         else:
             yield from (error(name(t), "RES") for t in _still_faults(x.get("resource"), resource, room))
@@ -132,9 +132,10 @@ def meta_issues(m: dict, resource, room: int) -> Iterator[Found]:
     need(all(abs(v) <= 2**31 for x in m["layers"] for v in (x.get("rect") or {}).values() if _int(v)), "a rect is too large")
 
 
-def _video_faults(x: dict) -> Iterator[str]:
+def _video_faults(x: dict, codecs: frozenset[str]) -> Iterator[str]:
+    own = x.get("codec") in codecs
     codec = re.fullmatch(r"vp09\.(\d\d)\.\d\d\.\d\d(?:\.\d\d)*", str(x.get("codec")))
-    if not codec or int(codec[1]) > 1:
+    if not own and (not codec or int(codec[1]) > 1):
         yield "codec"
     if not isinstance(x.get("lossless", False), bool):
         yield "lossless"
@@ -147,7 +148,7 @@ def _video_faults(x: dict) -> Iterator[str]:
     if x.get("alpha_range") not in (None, *ALPHA_RANGES):
         yield "alpha range"
     alpha = x.get("alpha_codec")
-    if x.get("has_alpha") is True and not str(alpha).startswith("vp09."):
+    if x.get("has_alpha") is True and not own and not str(alpha).startswith("vp09."):
         yield "alpha codec is missing"
     if x.get("has_alpha") is False and alpha is not None:
         yield "alpha codec without alpha"
@@ -190,8 +191,9 @@ def heads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(at)
 
 
-def validate(spark: SparkSession, path: str) -> DataFrame:
-    """Issues of one container: code, message, frame, severity, uncapped (see `operators.issues` for the cap)."""
+def validate(spark: SparkSession, path: str, codecs: Iterable[str] = ()) -> DataFrame:
+    """Issues of one container: code, message, frame, severity, uncapped (see `operators.issues` for the cap). codecs: names
+    that layers may have beside VP9; their packets are opaque and count as what their flags claim."""
     small: list[Found] = []
     try:
         with open(local(path), "rb") as f:
@@ -208,7 +210,7 @@ def validate(spark: SparkSession, path: str) -> DataFrame:
 
             f.seek(header.meta_offset)
             meta = parse_meta(f.read(header.meta_length))
-            for x in meta_issues(meta, resource, header.cau_offset - header.resources_offset):
+            for x in meta_issues(meta, resource, header.cau_offset - header.resources_offset, frozenset(codecs)):
                 small.append(x)
             f.seek(header.index_offset)
             rows: list[tuple[int, int, int]] = []
@@ -229,11 +231,11 @@ def validate(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(small, ISSUE).unionByName(out) if small else out
 
 
-def faults(spark: SparkSession):
+def faults(spark: SparkSession, codecs: Iterable[str] = ()):
     """A check for `publish`: the texts of the first errors."""
 
     def check(path: str) -> list[str]:
-        return [f"{r['code']}: {r['message']}" for r in validate(spark, path).where("severity = 'error'").limit(report.MOST).collect()]
+        return [f"{r['code']}: {r['message']}" for r in validate(spark, path, codecs).where("severity = 'error'").limit(report.MOST).collect()]
 
     return check
 
