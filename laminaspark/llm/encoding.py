@@ -21,18 +21,42 @@ QUERY_CHARS, REMEMBERED = 1 << 17, 350_000
 
 #: A row of run is a token at a byte position of a word; -1 marks a position that a merge took. Each step looks only at words
 #: that the last step changed: among neighbouring tokens that the merge table joins, the least rank, leftmost first, is merged.
-#: A candidate is one number: rank, position and distance to the next token, in {bits} bits each for the latter two.
+#: A candidate is one number: rank, position and distance to the next token, the latter two in 23 bits each.
 CONTRACT = """
 WITH RECURSIVE run(w, p, t) USING KEY (w, p) AS (
     SELECT w, p, t FROM pos
   UNION
-    SELECT w, unnest([(best >> {bits}) & {ones}, ((best >> {bits}) & {ones}) + (best & {ones})])::INT, unnest([best >> (2 * {bits}), -1])::INT FROM (
-        SELECT w, min((m::{number} << (2 * {bits})) | (p::{number} << {bits}) | (np - p)) AS best
+    SELECT w, unnest([(best >> 23) & 8388607, ((best >> 23) & 8388607) + (best & 8388607)])::INT, unnest([best >> 46, -1])::INT FROM (
+        SELECT w, min((m::BIGINT << 46) | (p::BIGINT << 23) | (np - p)) AS best
         FROM (SELECT w, p, t, lead(w) OVER o AS nw, lead(t) OVER o AS nt, lead(p) OVER o AS np FROM recurring.run
               WHERE t >= 0 AND w IN (SELECT w FROM run) WINDOW o AS (ORDER BY w, p))
         JOIN merges ON pair = t::BIGINT * 1048576 + nt WHERE nw = w GROUP BY w))
 SELECT w, p, t FROM run WHERE t >= 0
 """
+#: The same for long words, with many single steps in one. While the least rank stays the least, the steps would merge its
+#: pairs one after the other from the left; so all that don't overlap are merged at once, up to and with the first whose
+#: merge makes a neighbouring pair of a lower rank, which would come next. (A token's id is its rank.)
+CONTRACT_LONG = """
+WITH RECURSIVE run(w, p, t) USING KEY (w, p) AS (
+    SELECT w, p, t FROM pos
+  UNION
+    SELECT w, unnest([p, np]), unnest([m, -1]) FROM (
+        SELECT c.*, min(CASE WHEN a.m < c.m OR b.m < c.m THEN o END) OVER (PARTITION BY w) AS stop FROM (
+            SELECT *, CASE WHEN lag(o) OVER (PARTITION BY w ORDER BY o) = o - 2 THEN m ELSE pt END AS lt FROM (
+                SELECT *, row_number() OVER (PARTITION BY w, island ORDER BY o) AS k FROM (
+                    SELECT *, o - row_number() OVER (PARTITION BY w ORDER BY o) AS island FROM (
+                        SELECT x.*, m, min(m) OVER (PARTITION BY w) AS least FROM (
+                            SELECT w, p, t, lag(t) OVER q AS pt, lead(t) OVER q AS nt, lead(t, 2) OVER q AS nnt, lead(p) OVER q AS np, row_number() OVER q AS o
+                            FROM recurring.run WHERE t >= 0 AND w IN (SELECT w FROM run) WINDOW q AS (PARTITION BY w ORDER BY p)) x
+                        JOIN merges ON pair = t::BIGINT * 1048576 + nt)
+                    WHERE m = least))
+            WHERE k % 2 = 1) c
+        LEFT JOIN merges a ON a.pair = lt::BIGINT * 1048576 + c.m LEFT JOIN merges b ON b.pair = c.m::BIGINT * 1048576 + nnt)
+    WHERE stop IS NULL OR o <= stop)
+SELECT w, p, t FROM run WHERE t >= 0
+"""
+#: Bytes from which a word counts as long.
+LONG = 256
 #: Ordered aggregation: a word's ids, and its bytes from the ids alone.
 GATHER = "SELECT w, list(t ORDER BY p) AS ids, string_agg(bytes, '' ORDER BY p) AS hex FROM done JOIN vocabulary USING (t) GROUP BY w ORDER BY w"
 
@@ -61,9 +85,9 @@ class Bpe:
         buffer = np.frombuffer(b"".join(words), dtype=np.uint8)
         w = np.repeat(np.arange(len(words), dtype=np.int32), n)
         p = (np.arange(len(buffer)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-        bits, number = (23, "BIGINT") if n.max() < 1 << 23 else (40, "HUGEINT")
+        step = CONTRACT_LONG if n.max() >= LONG else CONTRACT
         self.db.register("pos", pa.table({"w": w, "p": p, "t": self.byte[buffer]}))
-        self.db.execute(f"CREATE OR REPLACE TEMP TABLE done AS {CONTRACT.format(bits=bits, ones=(1 << bits) - 1, number=number)}")
+        self.db.execute(f"CREATE OR REPLACE TEMP TABLE done AS {step}")
         got = self.db.sql(GATHER).to_arrow_table()
         self.db.unregister("pos")
         ids = got.column("ids").combine_chunks()

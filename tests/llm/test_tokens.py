@@ -154,6 +154,17 @@ def test_contract(tik, words):
         assert back == w.encode() and np.frombuffer(ids, "<u4").tolist() == tik._core_bpe.encode_single_piece(w.encode())
 
 
+@pytest.mark.parametrize("least", [1, 10**9])
+def test_long_words(monkeypatch, tik, texts, least):
+    """Both forms of the steps, on words of few letters, runs, and whole texts without their spaces."""
+    monkeypatch.setattr(encoding, "LONG", least)
+    bpe, rng = encoding.Bpe(encoding.ranks_of("byte_bpe_multi_50k.tiktoken")), np.random.default_rng(2)
+    words = ["".join(rng.choice(list(a), int(rng.integers(1, 150)))) for a in ("ab", "the", "aehrst", "étionaux", "=- ", "0123456789") for _ in range(15)]
+    words += ["".join(t.split())[:400] or "x" for t in list(texts.values())[:60]]
+    for w, (ids, back) in zip(words, bpe.contract([w.encode() for w in words]), strict=True):
+        assert back == w.encode() and np.frombuffer(ids, "<u4").tolist() == tik._core_bpe.encode_single_piece(w.encode())
+
+
 def test_generations(monkeypatch, docs, texts, tik):
     monkeypatch.setattr(encoding, "REMEMBERED", 100)
     bpe = encoding.Bpe(encoding.ranks_of("byte_bpe_multi_50k.tiktoken"))
