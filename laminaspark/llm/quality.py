@@ -56,6 +56,11 @@ class Model:
     b2: float
     prior: float
 
+    @classmethod
+    def constant(cls, hidden: int = 16) -> Model:
+        """Scores every text 0.5, so that nothing is rejected without evidence."""
+        return cls(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros((N_FEATURES, hidden)), np.zeros(hidden), np.zeros(hidden), 0.0, 0.5)
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         x = np.clip((x - self.mean) / self.scale, -6, 6)
         return np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2
@@ -120,12 +125,15 @@ def _features_of(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most about `sample` trusted positives and as many unlabelled texts, chosen by a hash of doc_id, none from
     the held-out fold. The class prior is estimated as the share of positives among the labelled rows outside that fold;
-    negatives serve for nothing else. Features of the sample come to the driver: 2 * sample rows of 35 numbers."""
+    negatives serve for nothing else. Features of the sample come to the driver: 2 * sample rows of 35 numbers.
+
+    Null ids, and labels other than 0 and 1, are passed over; repeated rows count as often as they occur. Where nothing can
+    be learnt (an empty table, no trusted positive or no web text outside the held-out fold) the model is constant."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out())
     n, good = known.agg(F.count(F.lit(1)), F.sum("quality")).first()
     rows = docs.count()
     if not n or not good or not rows:
-        raise ValueError("no trusted positives outside the held-out fold")
+        return Model.constant()
     prior = min(0.98, max(0.02, good / n))
 
     def about(of: int):  # a share of the rows by hash, the same rows on every run
@@ -138,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     got = _features_of(positive.unionByName(web)).toPandas()
     x, kind = np.array(got["x"].tolist(), dtype=np.float64).reshape(-1, N_FEATURES), got["kind"].to_numpy()
     if not (kind == 1).any() or not (kind == 0).any():
-        raise ValueError("the sample holds no trusted positive or no web text")
+        return Model.constant()
     order = np.lexsort(np.vstack([x.T, kind]))  # rows arrive in any order; the fit shall not depend on it
     x, kind = x[order], kind[order]
     return fit(x[kind == 1], x[kind == 0], prior)

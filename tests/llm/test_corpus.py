@@ -91,8 +91,14 @@ def test_quality_learns_nothing_from_negatives(spark, docs, sf, model):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     a, b = (quality.train(x, labels) for x in (docs, docs.repartition(3)))
     assert np.allclose(a.w1, b.w1) and a.prior == b.prior
-    with pytest.raises(ValueError):
-        quality.train(docs, labels.limit(0))
+
+
+def test_quality_without_evidence(spark, docs, sf, odd, none):
+    """Empty tables, no positives and null ids give a constant model, which rejects nothing."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    for d, l in ((docs, labels.limit(0)), (none, labels), (docs, labels.where("quality = 0")), (odd.where("doc_id IS NULL"), labels)):
+        assert quality.train(d, l).score(np.ones((3, quality.N_FEATURES))).tolist() == [0.5] * 3
+    assert quality.keep_good(odd, quality.train(none, labels)).count() == odd.count()
 
 
 def test_nonnegative_risk():
@@ -205,3 +211,16 @@ def test_pipeline_of_odd_rows(spark, odd, sf, monkeypatch):
         assert out.columns == odd.columns and 0 < out.count() < odd.count()
     assert corpus_pipeline.STAGES[3][1](spark, odd, sf).where("doc_id = 5").count() > 2
     assert json.dumps(sorted(QUERIES)) == json.dumps(sorted(f"op{k}_" + n for k, n in ((1, "token_counts"), (2, "document_fingerprints"), (3, "best_fit_packing"), (4, "sharding"), (5, "byte_bpe"), (6, "exact_dedup"), (7, "quality_classifier"), (8, "html_extraction"), (9, "url_filters"), (10, "simhash_near_dedup"))))
+
+
+def test_pipeline_of_empty_tables(spark, odd, none, sf, tmp_path):
+    """No documents: no pieces. No labels: nothing is rejected, and each group of copies keeps one document."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    for name, docs, known in (("docs", none, labels), ("labels", odd, labels.limit(0)), ("both", none, labels.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        known.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        if name == "labels":
+            assert {r.doc_id for r in got.select("doc_id").collect()} >= {2, 5, 7, 9, 10, None}
+        else:
+            assert got.count() == 0
