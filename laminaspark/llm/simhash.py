@@ -174,7 +174,7 @@ def compare(cell: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int =
     return x[unlike], y[unlike]
 
 
-#: Copies that a cell may hold before its homes are dealt into parts, each of which meets all of the cell's copies.
+#: Copies that a cell may hold before it is dealt into parts, and its comparisons into tiles of part by part.
 CELL = 20_000
 #: Large cells up to which their list is a literal of the plan; more are joined.
 FEW = 500
@@ -183,8 +183,8 @@ FEW = 500
 def links(distinct: DataFrame, count: int, threshold: int = THRESHOLD, cover: Sequence[Covering] | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect the same fingerprints as all pairs within the
     threshold do. Every fingerprint goes to each anchor within covering radius plus threshold; those at their home anchor
-    are compared with all that came. Cells whose copies exceed CELL are cut: their homes are dealt over parts and the other
-    copies go to each part, so no task holds a large cell alone."""
+    are compared with all that came. Cells whose copies exceed CELL are dealt into parts: tile (i, j) compares
+    the homes of part i with the copies of part j, so a task holds two parts of a cell at most, whatever its size."""
     blocks = cover or covers(count, threshold)
 
     def start():
@@ -212,10 +212,12 @@ def links(distinct: DataFrame, count: int, threshold: int = THRESHOLD, cover: Se
             copies = copies.withColumn("parts", parts)
         else:
             copies = copies.join(sizes, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        copies = copies.select("cell", "fp", "home", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("cell", "part", "fp", (F.col("home") & (F.col("own") == F.col("part"))).alias("home"))
+        own, every = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("long"), F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)
+        column = F.transform(every, lambda i: F.struct((i * F.col("parts") + F.col("own")).alias("tile"), (F.col("home") & (i == F.col("own"))).alias("home")))
+        row = F.transform(F.filter(every, lambda j: F.col("home") & (j != F.col("own"))), lambda j: F.struct((F.col("own") * F.col("parts") + j).alias("tile"), F.lit(True).alias("home")))
+        copies = copies.withColumn("own", own).select("cell", "fp", F.explode(F.concat(column, row)).alias("to")).select("cell", "fp", "to.tile", "to.home")
     else:
-        copies = copies.withColumn("part", F.lit(0))
+        copies = copies.withColumn("tile", F.lit(0).cast("long"))
 
     def near(batches):
         held: list[np.ndarray] | None = None  # the last cell may go on in the next batch
@@ -238,7 +240,7 @@ def links(distinct: DataFrame, count: int, threshold: int = THRESHOLD, cover: Se
         if held is not None:
             yield from send(held)
 
-    key = F.col("cell") * 65536 + F.col("part")
+    key = F.shiftleft("cell", 29).bitwiseOR(F.col("tile"))  # 34 bits of cell, 29 of tile
     dealt = copies.select(key.alias("key"), "fp", "home").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(near, "a long, b long").distinct()
 
