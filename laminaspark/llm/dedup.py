@@ -11,6 +11,8 @@ from laminaspark.llm.common import ascii_lower, over_batches, read, staged
 SLOTS, KICKS = 4, 200
 #: Live digests that a task holds before it hands on what it has (map side only; a later index merges it).
 LIVE = 200_000
+#: Digests that a merging task is dealt at most, on average.
+MERGED = 400_000
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -143,10 +145,12 @@ def _through_index(rows: DataFrame, most: int | None) -> DataFrame:
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """Groups over all rows (digest, doc_id, row). Each input partition first reduces its own rows, so that a digest which
+    """Groups over all rows (digest, doc_id, row), which should be staged: they are counted first. Each input partition first reduces its own rows, so that a digest which
     a third of all rows share crosses the network once a partition; then one index per hash partition merges them."""
     partial = _through_index(rows.select("digest", "doc_id", "row", F.lit(1).cast("long").alias("n")), LIVE)
-    return _through_index(partial.repartition("digest"), None)
+    parts = rows.count() // MERGED + 1  # above the session's number of partitions only where tables are large
+    named = parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _through_index(partial.repartition(parts, "digest") if named else partial.repartition("digest"), None)
 
 
 def exact_dedup(docs: DataFrame, normalise=ascii_lower) -> DataFrame:

@@ -227,3 +227,10 @@ def test_merged_sketches(docs, texts):
     for r in docs.select("doc_id", "lang").collect():
         by_lang[r.lang].append(np.unique(sketches.shingle_hashes(texts[r.doc_id])))
     assert got == {k: sketches.to_text(np.unique(np.concatenate(v))[: sketches.K]) for k, v in by_lang.items()}
+
+
+def test_exact_dedup_over_more_partitions(odd, monkeypatch):
+    """Tables with more digests than the session's partitions may hold are dealt over more of them."""
+    monkeypatch.setattr(dedup, "MERGED", 1)
+    got = dedup.exact_dedup(odd).collect()
+    check_groups([(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()], got)
