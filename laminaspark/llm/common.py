@@ -59,14 +59,34 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def over_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None]], schema: str) -> DataFrame:
-    """mapInArrow where start() runs once a task (it loads models and vocabularies) and returns the function of a batch."""
+_kept: dict[str, Callable] = {}
+
+
+def take(plan: str) -> Callable | None:
+    """The function that an earlier task of the same plan left in this worker process; those of other plans are dropped."""
+    f = _kept.pop(plan, None)
+    _kept.clear()
+    return f
+
+
+def leave(plan: str, f: Callable) -> None:
+    _kept[plan] = f
+
+
+def over_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None]], schema: str, keep: bool = False) -> DataFrame:
+    """mapInArrow where start() runs once a task (it loads models and vocabularies) and returns the function of a batch.
+
+    keep: a task that ends well leaves the function, with what it remembers, to the next task of this plan in the same worker
+    process. It is never shared between plans, and its memory must be bounded; a lost worker costs a start."""
+    plan = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = start()
+        f = (take(plan) if keep else None) or start()
         for batch in batches:
             if batch.num_rows and (out := f(batch)) is not None:
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+        if keep:
+            leave(plan, f)
 
     return df.mapInArrow(run, schema)
 

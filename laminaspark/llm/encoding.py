@@ -147,7 +147,7 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", wit
 
         return lambda batch: pa.Table.from_batches([part(x) for x in slices(batch, "text", 8 << 20)])
 
-    return over_batches(docs.select(F.col("doc_id").cast("long"), "text"), start, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return over_batches(docs.select(F.col("doc_id").cast("long"), "text"), start, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, keep=True)
 
 
 def decode(ids: list[int], vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> bytes:
