@@ -80,7 +80,7 @@ class ScoreTrie:
 
 def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) of every whole text; null counts as empty (0, 0). A pure map without any shuffle:
-    each task keeps a trie of the distinct pre-tokens that it has met, of bounded size. Repeated rows repeat; other columns
+    each worker keeps a trie of the distinct pre-tokens that its tasks have met, of bounded size. Repeated rows repeat; other columns
     aren't read; an empty table gives no rows."""
 
     def start():
@@ -97,7 +97,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") ->
 
         return f
 
-    return over_batches(docs.select(F.col("doc_id").cast("long"), "text"), start, "doc_id long, n_pretokens long, n_tokens long")
+    return over_batches(docs.select(F.col("doc_id").cast("long"), "text"), start, "doc_id long, n_pretokens long, n_tokens long", keep=True)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
