@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from laminaspark.llm import encoding, packing, token_counts
+from laminaspark.llm import common, encoding, packing, token_counts
 
 FILE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -179,3 +179,18 @@ def test_decode(tik, texts):
     t = next(iter(texts.values()))
     assert encoding.decode(tik.encode_ordinary(t)) == t.encode() and encoding.decode([]) == b""
     assert base64.b64encode(b"") == b""
+
+
+def test_tasks_go_on_with_what_a_worker_kept(docs, texts, tik):
+    """Many small tasks in few workers, two queries by turns, give what one task gives."""
+    many = docs.repartition(40)
+    for _ in range(2):
+        assert {r.doc_id: r.n_tokens for r in encoding.encode(many).collect()} == {d: len(tik.encode_ordinary(t or "")) for d, t in texts.items()}
+        assert Counter(token_counts.token_counts(many).collect()) == Counter(token_counts.token_counts(docs.coalesce(1)).collect())
+
+
+def test_kept_functions_stay_with_their_plan():
+    common.leave("a", len)
+    assert common.take("a") is len and common.take("a") is None
+    common.leave("a", len)
+    assert common.take("b") is None and common.take("a") is None
