@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from laminaspark.llm.common import LOWER, UPPER, over_batches, read, slices, staged
 
 #: A subtree is the site's template if it stands beside at least so many different main texts of a host, and beside at
-#: least this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.3
+#: least this share of them or, on a large host, beside so many whatever their share.
+LEAST_PAGES, LEAST_SHARE, MANY_PAGES = 5, 0.3, 1000
 #: Of a landmark's inner containers only those are candidates whose words stand in links to this share at least.
 LINKED = 0.5
 
@@ -249,7 +249,7 @@ def host_of(url):
     return F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER)
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) for every row: the main text's blocks joined by two line feeds, without subtrees that
     recur across many pages of the page's host.
 
@@ -273,7 +273,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     seen = parsed.select("host", "main", F.explode("candidates").alias("subtree"))
     per_host = parsed.select("host", "main").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
     counted = seen.distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    template = counted.join(per_host, "host").where(F.col("n") >= F.col("texts") * least_share).select("host", "subtree")
+    template = counted.join(per_host, "host").where(F.col("n") >= F.least(F.col("texts") * least_share, F.lit(many_pages))).select("host", "subtree")
     salted = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     around = parsed.select("row", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["path"])))).alias("subtree"))
     removed = around.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(salted, ["host", "subtree", "salt"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))

@@ -137,6 +137,14 @@ def test_templates(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_templates_of_a_section(spark):
+    """A menu on many pages of a large host goes, though it is on a small share of them; one on few pages stays."""
+    menu = lambda k: "<div>Section menu</div>" if k < 1000 else "<div>Small menu</div>" if k < 1100 else ""
+    rows = [(k, f"http://a.example/{k}", f"<body>{menu(k)}<p>Story number {k}</p></body>") for k in range(4000)]
+    text = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[k] == (f"Small menu\n\nStory number {k}" if 1000 <= k < 1100 else f"Story number {k}") for k in range(4000))
+
+
 def test_pages(spark, sf):
     for r in html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect():
         assert r.text and r.n_chars == len(r.text) and "<" not in r.text.replace("<", "", 0)[:1] and "©" not in r.text
