@@ -8,8 +8,11 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,58 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """(_d, _row): the columns of docs as a struct, and a number of the row by its file and place there, the same whenever the
+    files are read again. Rows that don't come straight from files are staged first."""
+
+    def tagged(rows: DataFrame) -> DataFrame:
+        meta = rows.metadataColumn("_metadata")
+        return rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_d"), F.xxhash64(meta["file_path"], meta["row_index"]).alias("_row"))
+
+    try:
+        return tagged(docs)
+    except AnalysisException:
+        return tagged(staged(docs))
+
+
+def untagged(rows: DataFrame) -> DataFrame:
+    return rows.select("_d.*")
+
+
+#: Bits of the map by which rows are found; its size is fixed, and too few bits only let more rows pass to the join behind it.
+BITS = 1 << 24
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Of the one column of longs: a map of fixed size (2 MB) in which the lowest bits of each number are set."""
+    low = F.col(keys.columns[0]).bitwiseAND(F.lit(BITS - 1))
+    found = keys.select(F.shiftright(low, 15).alias("k"), low.bitwiseAND(F.lit(32767)).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    out = np.zeros((BITS >> 15, 4096), dtype=np.uint8)
+    for r in found:
+        out[r.k] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return (bits[(keys & (BITS - 1)) >> 3] >> (keys & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of `identified` documents, as documents again, but those whose _row is in `dropped` (one column of longs).
+    Only rows that the bitmap of the dropped ones may mean go through the join; the others stay where they are, so that texts
+    move about as far as rows are dropped. Beyond some ten million dropped rows the map is full and all rows pass the join."""
+    gone = staged(dropped.toDF("_gone"))
+    bits = bitmap(gone)
+
+    @F.pandas_udf("boolean")
+    def may(row: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bits, row.to_numpy()))
+
+    stay = rows.where(~may("_row"))
+    asked = rows.where(may("_row")).join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+    return untagged(stay.unionByName(asked))
+
+
 _kept: dict[str, Callable] = {}
 
 

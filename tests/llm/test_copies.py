@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from laminaspark.llm import dedup, simhash, sketches
 from laminaspark.llm.common import components
@@ -54,6 +55,48 @@ def test_keep_kept(odd):
     assert Counter(key(r.text) for r in got) == Counter({key(r.text) for r in odd.select("text").collect()})
 
 
+def test_colliding_digests_are_told_apart_by_content(spark, odd, monkeypatch):
+    """Three digests for all texts: unlike texts of one digest are hits, and their contents part them."""
+    few = lambda content: F.sha2((F.char_length(content) % 3).cast("string"), 256).cast("binary")
+    rows = [(k, f"text {k % 37}" if k % 3 else "THE hot one") for k in range(300)]
+    for live in (200_000, 7):
+        monkeypatch.setattr(dedup, "LIVE", live)
+        check_groups(rows, dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), digest=few).collect())
+    check_groups([(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()], dedup.exact_dedup(odd, digest=few).collect())
+
+
+def test_filter_spares_lookups():
+    """New digests are stored without a look at the bucket; each hit looks once, and counts as verified if its content is there."""
+    index = dedup.LiveIndex()
+    for k in range(2000):
+        index.add(digest(k), (k, 0), 1)
+    assert index.probes <= 10 and index.verified == 0  # but for false positives of 16-bit tags
+    before = index.probes
+    for k in range(500):
+        index.add(digest(k), (k, 1), 1)
+    assert index.probes == before + 500 and index.verified == 500
+    index.add(digest(1), (7, 0), 1, b"another text")
+    assert index.find(digest(1)) == ((1, 1), 2) and index.find(digest(1), b"another text") == ((7, 0), 1)
+
+
+def test_retiring_keeps_what_recurs():
+    index = dedup.LiveIndex()
+    for k in (1, 2, 3, 2):
+        index.add(digest(k), (k, 0), 1)
+    assert {r[2][0] for r in index.retire()} == {1, 3} and index.live == 1 and digest(1) not in index.filter
+    index.add(digest(1), (5, 0), 1)
+    assert sorted((r[2][0], r[3]) for r in index.retire()) == [(2, 2), (5, 1)] and index.live == 0
+
+
+def test_one_of_each(spark, odd, none):
+    for docs in (odd, odd.repartition(4), none):
+        left = dedup.one_of_each(docs)
+        assert left.columns == odd.columns
+        want = Counter({key(r.text) for r in docs.select("text").collect()})
+        assert Counter(key(r.text) for r in left.select("text").collect()) == want
+    assert {r.doc_id for r in dedup.one_of_each(odd).collect()} >= {2, 4, 5, 7}
+
+
 def digest(k):
     return hashlib.sha256(str(k).encode()).digest()
 
