@@ -1,8 +1,10 @@
 """Sharding, quality, HTML, URLs, and the pipeline."""
 
+import html
 import json
+import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -145,9 +147,76 @@ def test_templates_of_a_section(spark):
     assert all(text[k] == (f"Small menu\n\nStory number {k}" if 1000 <= k < 1100 else f"Story number {k}") for k in range(4000))
 
 
-def test_pages(spark, sf):
-    for r in html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect():
-        assert r.text and r.n_chars == len(r.text) and "<" not in r.text.replace("<", "", 0)[:1] and "©" not in r.text
+def host_of(url):
+    return re.split("[/?#]", url.split("://", 1)[1])[0].lower() if url and "://" in url else ""
+
+
+def by_counting(rows, named=True, least=html_text.LEAST_PAGES):
+    """page_id: text, with subtrees counted per host in plain Python."""
+    parts = [(d, host_of(u), html_text.Parts(h or "")) for d, u, h in rows]
+    mains, seen, found = defaultdict(set), defaultdict(set), defaultdict(set)
+    for _, host, p in parts:
+        mains[host].add(p.main)
+        for kind, hashes in enumerate((p.exact, p.shape)):
+            for h in set(hashes) - {0}:
+                seen[host, kind, h].add(p.main)
+    for (host, kind, h), at in seen.items():
+        share = 0.3 * len(mains[host])
+        if len(at) >= least and len(at) >= (share if kind else min(share, 1000)):
+            found[host, kind].add(h)
+    text = lambda host, p: "\n\n".join(html_text.main_text(p.texts, p.at, html_text.template(p.parent, p.exact, p.shape, p.flags, p.words, found[host, 0], found[host, 1]), p.flags, named)[0])
+    return {d: text(host, p) for d, host, p in parts}
+
+
+def article_of(page):
+    """The article's text by plain patterns, for the given pages, whose articles hold h1, p, b and br alone."""
+    inside = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    parts = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", inside.replace("<br>", " ")))
+    return "\n\n".join(t for t in (" ".join(html.unescape(x).split()) for x in parts) if t)
+
+
+def neutral(page):
+    """Without the names that tell an article from the rest."""
+    page = re.sub(r"<(/?)(article|main|nav|header|footer|aside|section)\b", r"<\1div", page)
+    return re.sub(r"""\s(class|id|role)="[^"]*\"""", "", page)
+
+
+@pytest.mark.parametrize("few", [html_text.FEW_TEMPLATES, 0])
+def test_pages(spark, monkeypatch, few):
+    """Whole texts of all pages, with the counts made in plain Python too, and templates sent to all tasks or joined."""
+    monkeypatch.setattr(html_text, "FEW_TEMPLATES", few)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
+    got = {r.page_id: r for r in html_text.extract(pages).collect()}
+    want = by_counting(rows)
+    assert all(got[d].text == want[d] == article_of(h) and got[d].n_chars == len(want[d]) for d, _, h in rows)
+    assert sum(r.n_template for r in got.values()) > 1000
+
+
+def test_templates_of_pages_without_names(spark):
+    """With neutral tags and no classes the counts find the articles; without the counts nothing does."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = [(d, u, neutral(h)) for d, u, h in map(tuple, pages.select("page_id", "url", "html").collect())]
+    plain = {r.page_id: article_of(r.html) for r in pages.collect()}
+    bare = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    got = {r.page_id: r.text for r in html_text.extract(bare).collect()}
+    assert got == by_counting(rows) and sum(got[d] == t for d, t in plain.items()) > 0.95 * len(plain)
+    off = {r.page_id: r.text for r in html_text.extract(bare, least_pages=1 << 40).collect()}
+    assert sum(off[d] == t for d, t in plain.items()) < 0.05 * len(plain)
+    unnamed = {r.page_id: r.text for r in html_text.extract(pages, named=False).collect()}
+    assert sum(unnamed[d] == t for d, t in plain.items()) > 0.95 * len(plain)
+
+
+def test_shapes_beside_and_inside_a_text():
+    """One page against the shapes of its site."""
+    page = "<body><div><ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul></div><div>Buy this now</div><div><h1>Head</h1><p>Some text of its own</p><div>Part a</div><div>Part b</div><div>Part c</div></div><div>Imprint</div></body>"
+    p = html_text.Parts(page)
+    every = set(p.shape) - {0}
+    kept = lambda shapes: html_text.main_text(p.texts, p.at, html_text.template(p.parent, p.exact, p.shape, p.flags, p.words, set(), shapes), p.flags)[0]
+    own = ["Head", "Some text of its own", "Part a", "Part b", "Part c"]
+    whole = next(s for s, f in zip(p.shape, p.flags, strict=True) if f & html_text.HEADING and f & html_text.CONTAINER)
+    assert kept(every - {whole}) == own and kept(every) == own  # where all shapes recur, the one with the heading stays
+    assert len(kept(set())) == len(p.texts)
 
 
 def test_rules(spark):
