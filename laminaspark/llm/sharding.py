@@ -17,7 +17,8 @@ DIMENSIONS = ("d_size", "d_chars", "d_lang")
 
 def metadata(docs: DataFrame) -> DataFrame:
     """One small row a document: size, crc, group (a hash of the text), and coordinates from 0 to 2^20 - 1: the logarithms
-    of size and of code points, and the language by its first letters. Equal texts have equal coordinates in the first two."""
+    of size and of code points, and the language by its first letters. Equal texts have equal coordinates in the first two.
+    tie: a hash of doc_id and place, so that any group can be cut, of equal or null ids too; it must be staged before use."""
     body = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(body) + 1).cast("long")
     scale = float(1 << 20) - 1
@@ -35,7 +36,7 @@ def metadata(docs: DataFrame) -> DataFrame:
         log_scaled(size).alias("d_size"),
         log_scaled(F.char_length(body) + 1).alias("d_chars"),
         lang.cast("long").alias("d_lang"),
-        F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(11)), 12).alias("tie"),
+        F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id(), F.lit(11)), 12).alias("tie"),
     )
 
 
@@ -74,7 +75,7 @@ def kd_tree(rows: DataFrame, shards: int = SHARDS, target_bytes: int | None = No
 
     Level by level, every node with more than one shard to give is cut along its widest dimension (range of coordinates,
     as a share of the whole table's range) where its bytes divide as its shards do. The cut falls between two groups of equal texts if that stays within SNAP of a
-    shard's bytes; otherwise, as for a group larger than that, inside the group, by a hash of doc_id. All nodes of a level
+    shard's bytes; otherwise, as for a group larger than that, inside the group, by a hash of doc_id and place. All nodes of a level
     share their passes, and the driver holds the tree alone."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     leaves = shards if target_bytes is None else max(1, -(-total // target_bytes))
