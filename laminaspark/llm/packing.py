@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import functools
+import json
 import zlib
 from collections.abc import Iterable
 
@@ -14,24 +16,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from laminaspark.llm.common import over_batches, ranked, read, slices, staged
+from laminaspark.llm.common import identified, over_batches, ranked, read, slices, staged
 
 LENGTH, END = 2048, 0
 SPECIAL = "<|endoftext|>"  # the one string that the tokenizer file treats apart
 
 
+def plain(settings: dict, ranks: dict[bytes, int]) -> bool:
+    """Whether a tokenizer file says no more than its ranks do: byte-level BPE by the public pattern over the same vocabulary,
+    nothing that changes or adds to a text, and no added token but SPECIAL."""
+    model, before = settings["model"], settings["pre_tokenizer"] or {}
+    steady = all(settings.get(k) is None for k in ("normalizer", "truncation", "padding")) and [t["content"] for t in settings["added_tokens"]] == [SPECIAL]
+    level = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    merging = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    byte = {c: b for b, c in byte_letters().items()}
+    return steady and level and merging and {bytes(byte[c] for c in piece): k for piece, k in model["vocab"].items() if piece != SPECIAL} == ranks
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: its own if it can be seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+@functools.cache
+def _checked(name: str) -> tuple[dict[bytes, int], bool]:
+    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        return ranks, plain(json.load(f), ranks)
+
+
 class Ids:
-    """The ids that the tokenizer file gives. Its vocabulary as ranks gives the same ids faster; texts with the
-    special token's string go to the file's own tokenizer."""
+    """The ids that the tokenizer file gives. Its vocabulary as ranks gives the same ids faster, if the file's settings say no
+    more than that (checked once a process); texts with the special token's string, and every text of a file with other
+    settings, go to the file's own tokenizer."""
 
     def __init__(self, name: str = "byte_bpe_50k"):
-        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks, self.plain = _checked(name)
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.file, self.slow = public_tokenizers.path(f"{name}.json"), None
 
     def __call__(self, text: str) -> list[int]:
-        if SPECIAL not in text:
+        if self.plain and SPECIAL not in text:
             return self.fast.encode_ordinary(text)
         self.slow = self.slow or Tokenizer.from_file(self.file)
         return self.slow.encode(text, add_special_tokens=False).ids
@@ -128,9 +156,10 @@ def pack(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Documents are tokenized once; what remains are small rows in the shared folder. The driver sees only the histogram of
     lengths (`length` rows at most). Nulls count as empty texts, repeated rows are packed as often as they occur, other
-    columns are not read, and an empty table gives no rows. Ties: pieces of equal length rank by doc_id and piece within
-    chunks dealt by their hash."""
-    items = staged(pieces(docs, length))
+    columns are not read, and an empty table gives no rows. Ties: pieces of equal length rank by doc_id, piece and place in
+    the staged rows within chunks dealt by their hash, so that a task that runs again ranks them alike."""
+    rows = identified(staged(pieces(docs, length)))
+    items = rows.select("_d.*", "_row")
     histogram = {r[0]: r[1] for r in items.groupBy("length").count().collect()}
     table = slots(plan(histogram, length))
     span = 1 << 44  # more than the pieces of one length
@@ -145,7 +174,7 @@ def pack(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         return f
 
-    rank = ranked(items, ["length"], ["doc_id", "piece"], "_rank", sum(histogram.values()))
+    rank = ranked(items, ["length"], ["doc_id", "piece", "_row"], "_rank", sum(histogram.values()))
     return over_batches(rank, start, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
