@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import math
 from array import array
+from collections import Counter
 
 import public_tokenizers
 import pyarrow as pa
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from laminaspark.llm.common import over_batches, read, slices
 
-#: Trie nodes and words that a task holds at most before it starts a new trie.
-NODES, HELD = 400_000, 250_000
+#: Trie nodes and words that a task holds at most; then it starts a new trie. Characters of a word that share the trie.
+NODES, HELD, SHARED = 400_000, 250_000, 256
 
 
 def zipf_pieces(name: str = "byte_bpe_50k.tiktoken") -> dict[bytes, float]:
@@ -41,6 +42,10 @@ class ScoreTrie:
 
     def insert(self, word: bytes) -> int:
         """The node where the word ends."""
+        return self.path(word)[-1]
+
+    def path(self, word: bytes) -> list[int]:
+        """The nodes of all its prefixes, the root first."""
         edges, score, count, pieces, longest = self.edges, self.score, self.count, self.pieces, self.longest
         path, node = [0], 0
         for d, byte in enumerate(word, 1):
@@ -58,24 +63,55 @@ class ScoreTrie:
                 count.append(fewest)
             node = to
             path.append(node)
-        return node
+        return path
+
+    def best_of(self, word: bytes) -> tuple[float, int]:
+        """Forward score and token count of a pre-token. Beyond SHARED bytes a word has the trie for its first part only; from
+        there on scores go on in a window as long as the longest piece, so that no word's length bounds memory."""
+        path = self.path(word[: max(SHARED, self.longest)])
+        if len(path) > len(word):
+            return self.score[path[-1]], self.count[path[-1]]
+        pieces, longest = self.pieces, self.longest
+        ends = [(self.score[k], self.count[k]) for k in path[-longest:]]  # of the prefixes that end at d - longest .. d - 1
+        for d in range(len(path), len(word) + 1):
+            best, fewest = -math.inf, 0
+            for j, (score, count) in enumerate(ends, d - len(ends)):
+                if (s := pieces.get(word[j:d])) is not None:
+                    s += score
+                    if s > best or (s == best and count + 1 < fewest):
+                        best, fewest = s, count + 1
+            ends.append((best, fewest))
+            del ends[0]
+        return ends[-1]
 
     def tokens(self, words: list[str]) -> int:
-        """Tokens of a list of pre-tokens: inserts those that are new, then sums terminal counts."""
-        known = self.words
+        """Tokens of a list of pre-tokens: inserts those that are new, then sums terminal counts. Where a document has too
+        many for the trie, its words are counted first and summed word by word while the trie begins anew."""
+        known, count = self.words, self.count
         for w in set(words).difference(known):
-            if len(self.score) > NODES or len(known) > HELD:
-                self.clear()
-                known = self.words
+            if len(self.score) + min(SHARED, len(w)) * 4 > NODES or len(known) >= HELD or len(w) > SHARED:
+                return self._by_turns(words)
             known[w] = self.insert(w.encode())
-        count = self.count
-        try:
-            return sum([count[known[w]] for w in words])
-        except KeyError:  # the trie was begun anew inside this document
-            return sum(count[known[w]] if w in known else count[self.insert(w.encode())] for w in words)
+        return sum([count[known[w]] for w in words])
+
+    def _by_turns(self, words: list[str]) -> int:
+        total = 0
+        for w, times in Counter(words).items():
+            if (node := self.words.get(w)) is not None:
+                total += times * self.count[node]
+                continue
+            if len(self.score) + SHARED * 4 > NODES or len(self.words) >= HELD:
+                self.clear()
+            raw = w.encode()
+            if len(w) <= SHARED:
+                node = self.words[w] = self.insert(raw)
+                total += times * self.count[node]
+            else:
+                total += times * self.best_of(raw)[1]
+        return total
 
     def best(self, words: list[str]) -> float:
-        return sum(self.score[self.insert(w.encode())] for w in words)
+        return sum(self.best_of(w.encode())[0] for w in words)
 
 
 def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
