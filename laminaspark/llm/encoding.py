@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import tempfile
 
 import duckdb
 import numpy as np
@@ -65,7 +67,11 @@ class Bpe:
     """Encodes words by the ranks of a file and decodes their ids, in DuckDB; remembers frequent words."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        # A query that outgrows its memory spills where Spark's own tasks do; the files go with the connection.
+        scratch = os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")[0]
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": os.path.join(scratch, f"duckdb-{os.getpid()}-{id(self):x}")})
+        self.prefixes = {b[:k] for b in ranks for k in range(1, len(b) + 1)}
+        self.ranks = ranks
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         vocabulary = pa.table({"t": pa.array(ranks.values(), pa.int32()), "bytes": [b.hex() for b in ranks]})
         pairs = [(ranks[b[:i]] * 1048576 + ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
@@ -94,6 +100,22 @@ class Bpe:
         flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy()
         return [(flat[4 * a : 4 * b], bytes.fromhex(h)) for a, b, h in zip(ends, ends[1:], got.column("hex").to_pylist(), strict=False)]
 
+    def segments(self, word: bytes) -> list[bytes]:
+        """The word cut wherever no token of the vocabulary that occurs in it reaches across. No merge can cross such a place,
+        so the parts are encoded alone as they are in the word."""
+        prefixes, ranks, reach, out, begin = self.prefixes, self.ranks, 0, [], 0
+        for at in range(len(word)):
+            if at >= reach and at > begin:
+                out.append(word[begin:at])
+                begin = at
+            end = at + 1
+            while end <= len(word) and (piece := word[at:end]) in prefixes:
+                if end > reach and piece in ranks:
+                    reach = end
+                end += 1
+        out.append(word[begin:])
+        return out
+
     def know(self, texts: list[list[str]]) -> None:
         """Makes ids and decoded hold all words of these texts: by what is remembered and else by queries of a bounded size."""
         if len(self.ids) > REMEMBERED:
@@ -117,8 +139,23 @@ class Bpe:
             self.learn(part)
 
     def learn(self, words: list[str]) -> None:
-        for w, (ids, decoded) in zip(words, self.contract([w.encode() for w in words]), strict=True):
-            self.ids[w], self.decoded[w] = ids, decoded
+        """Words of LONG bytes and more by their segments, equal ones once; the others as they are."""
+        raw = [w.encode() for w in words]
+        parts = {w: self.segments(b) for w, b in zip(words, raw, strict=True) if len(b) >= LONG}
+        whole = [b for b in raw if len(b) < LONG]
+        known: dict[bytes, tuple[bytes, bytes]] = {}
+        part, used = [], 0
+        for b in sorted({*whole, *(s for segments in parts.values() for s in segments)}, key=len):
+            part.append(b)
+            used += len(b)
+            if used > QUERY_CHARS:
+                known |= zip(part, self.contract(part), strict=True)
+                part, used = [], 0
+        if part:
+            known |= zip(part, self.contract(part), strict=True)
+        for w, b in zip(words, raw, strict=True):
+            of = [known[s] for s in parts[w]] if w in parts else [known[b]]
+            self.ids[w], self.decoded[w] = b"".join(i for i, _ in of), b"".join(d for _, d in of)
 
 
 def ranks_of(name: str) -> dict[bytes, int]:
