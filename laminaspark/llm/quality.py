@@ -12,10 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminaspark.llm.common import over_batches, read, slices
+from laminaspark.llm.common import identified, over_batches, read, slices
 
-#: Folds of crc32(doc_id as text); fold 0 is held out. Rows of either kind that a fit sees at most. Least score that is kept.
+#: Folds of crc32(doc_id as text); fold 0 is held out. Trusted positives, and web texts that lay the cells out, that the driver
+#: sees at most. Least score that is kept.
 FOLDS, SAMPLE, KEEP = 5, 12_000, 0.3
+#: Random planes; the sides of them on which a text's features lie are its cell. All web texts are summed up by cell.
+PLANES = 10
 _LINE = re.compile(r"\n+")
 _CLASSES = [range(65, 91), range(97, 123), range(48, 58), range(128, 256), b".,;:'\"-()?", b"!", b"|", b"#$%&*@+=~^_<>/\\", b"{}[]", b"\n"]
 _CLASS = np.full(256, len(_CLASSES), dtype=np.int64)
@@ -69,12 +72,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 700, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, weights: np.ndarray | None = None, moments: tuple[np.ndarray, np.ndarray] | None = None, hidden: int = 16, steps: int = 700, rate: float = 0.01, decay: float = 1e-4, seed: int = 7, separate: bool = False) -> Model:
     """Minimises prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]) with the logistic loss by Adam. Where the
-    second term falls below zero the step goes up its gradient instead, as in the published algorithm."""
+    second term falls below zero the step goes up its gradient instead, as in the published algorithm. weights: how many texts
+    each unlabelled row stands for. moments: mean and deviation of the features, by the rows given if not told. separate: tell
+    positives from unlabelled rows instead, each half of the risk."""
+    share = np.full(len(unlabelled), 1 / len(unlabelled)) if weights is None else weights / weights.sum()
     every = np.concatenate([positive, unlabelled])
-    mean, scale = every.mean(0), every.std(0)
-    scale[scale < 1e-9] = 1.0
+    mean, scale = moments or (every.mean(0), every.std(0))
+    scale = np.where(scale < 1e-9, 1.0, scale)
     rng = np.random.default_rng(seed)
     p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
     theta = [rng.normal(0, 0.3, (p.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), np.array([np.log(prior / (1 - prior))])]
@@ -93,10 +99,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
 
     for t in range(1, steps + 1):
         (hp, gp), (hu, gu) = forward(p), forward(u)
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+        negative = share @ np.logaddexp(0, gu) - prior * np.logaddexp(0, gp).mean()
         dp_up = -prior * sigmoid(-gp) / len(p)
-        dp_down, du = -prior * sigmoid(gp) / len(p), sigmoid(gu) / len(u)
-        if negative >= 0:
+        dp_down, du = -prior * sigmoid(gp) / len(p), sigmoid(gu) * share
+        if separate:
+            grads = [a + b for a, b in zip(back(p, hp, dp_up), back(u, hu, (1 - prior) * du), strict=True)]
+        elif negative >= 0:
             grads = [a + b for a, b in zip(back(p, hp, dp_up + dp_down), back(u, hu, du), strict=True)]
         else:
             grads = [a - b for a, b in zip(back(p, hp, -dp_down), back(u, hu, du), strict=True)]
@@ -122,34 +130,85 @@ def _features_of(docs: DataFrame) -> DataFrame:
     return over_batches(docs.select("kind", "text"), start, "kind int, x array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most about `sample` trusted positives and as many unlabelled texts, chosen by a hash of doc_id, none from
-    the held-out fold. The class prior is estimated as the share of positives among the labelled rows outside that fold;
-    negatives serve for nothing else. Features of the sample come to the driver: 2 * sample rows of 35 numbers.
-
-    Null ids, and labels other than 0 and 1, are passed over; repeated rows count as often as they occur. Where nothing can
-    be learnt (an empty table, no trusted positive or no web text outside the held-out fold) the model is constant."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out())
-    n, good = known.agg(F.count(F.lit(1)), F.sum("quality")).first()
-    rows = docs.count()
-    if not n or not good or not rows:
-        return Model.constant()
-    prior = min(0.98, max(0.02, good / n))
+def planes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Random planes through the middle of these rows' standardised features: a text's cell is x @ planes > offsets, as bits."""
+    mean, scale = x.mean(0), x.std(0)
+    normal = np.random.default_rng(5).normal(0, 1, (x.shape[1], PLANES)) / np.where(scale < 1e-9, 1.0, scale)[:, None]
+    return normal, mean @ normal
+
+
+def cells(web: DataFrame, normal: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Rows (n, sums of features, sums of their squares) over all texts of `web`, one a cell: 2 ** PLANES at most, whatever the
+    number of texts. Each task sums up its own texts first."""
+    names = ["n", *(f"x{k}" for k in range(N_FEATURES)), *(f"q{k}" for k in range(N_FEATURES))]
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part in slices(batch, "text"):
+                x = np.array([features(t or "") for t in part.column("text").to_pylist()]).reshape(-1, N_FEATURES)
+                at = ((x @ normal > offset) << np.arange(PLANES)).sum(axis=1)
+                rows = np.concatenate([np.ones((len(x), 1)), x, x * x], axis=1)
+                order = np.argsort(at, kind="stable")
+                firsts = np.flatnonzero(np.diff(at[order], prepend=-1)) if len(at) else order
+                for cell, row in zip(at[order][firsts].tolist(), np.add.reduceat(rows[order], firsts) if len(at) else (), strict=True):
+                    total[cell] = total[cell] + row if cell in total else row
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total)), *(pa.array(c) for c in np.array(list(total.values())).T)], names=["cell", *names])
+
+    summed = web.select("text").mapInArrow(run, "cell long, " + ", ".join(f"{n} double" for n in names))
+    return np.array([list(r) for r in summed.groupBy("cell").agg(*(F.sum(n).alias(n) for n in names)).orderBy("cell").drop("cell").collect()], dtype=np.float64).reshape(-1, len(names))
+
+
+def class_prior(positive: np.ndarray, web: np.ndarray, moments: tuple[np.ndarray, np.ndarray] | None = None, delta: float = 0.1) -> float:
+    """The share of positives among web texts, from positives and web texts alone (best bin estimation, Garg et al. 2021). A
+    logistic fit tells one half of the positives from one half of the web texts; over the other halves, of all scores c the
+    share of web texts at c or above, divided by that of positives, bounds the prior from above, and is taken where its
+    confidence bound is least. The mean of both ways round, between 0.02 and 0.98; 0.5 where there are too few texts."""
+    if len(positive) < 4 or len(web) < 4:
+        return 0.5
+    found = []
+    for k in (0, 1):
+        model = fit(positive[k::2], web[k::2], 0.5, None, moments, hidden=8, steps=150, decay=1e-2, separate=True)
+        p, u = (np.sort(model.logits(x[1 - k :: 2])) for x in (positive, web))
+        at = np.unique(np.concatenate([p, u]))
+        of_p, of_u = (1 - np.searchsorted(x, at) / len(x) for x in (p, u))
+        of_p, of_u = of_p[of_p > 0], of_u[of_p > 0]
+        slack = np.sqrt(np.log(4 / delta) / 2 / len(p)) + np.sqrt(np.log(4 / delta) / 2 / len(u))
+        best = np.argmin((of_u + 1.01 * slack) / of_p)
+        found.append(of_u[best] / of_p[best])
+    return float(np.clip(np.mean(found), 0.02, 0.98))
 
-    def about(of: int):  # a share of the rows by hash, the same rows on every run
-        return F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(min(1.0, sample / of) * (1 << 20))
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    trusted = known.where("quality = 1").where(about(good)).select("doc_id").distinct()  # about `sample` longs
-    positive = named.join(F.broadcast(trusted), "doc_id", "left_semi").select(F.lit(1).alias("kind"), "text")
-    web = named.where("doc_id IS NOT NULL").where(~held_out()).where(about(rows)).select(F.lit(0).alias("kind"), "text")
-    got = _features_of(positive.unionByName(web)).toPandas()
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fits on at most `sample` trusted positives, chosen by a hash of id, text and place, and on all web texts outside the
+    held-out fold, summed up by cell: features of `sample` of them at most lay the cells out, then every text counts in its
+    cell, in the features' means and deviations, and with the cell in the risk. The class prior is estimated from the
+    positives and those `sample` web texts. Labelled negatives serve for nothing.
+
+    Null ids, and labels other than 1, are passed over; repeated rows count as often as they occur. Where nothing can be
+    learnt (an empty table, no trusted positive or no web text outside the held-out fold) the model is constant."""
+    tagged = identified(docs.select("doc_id", "text"))
+    rows = tagged.select(F.col("_d.doc_id").cast("long").alias("doc_id"), F.coalesce("_d.text", F.lit("")).alias("text"), "_row").where("doc_id IS NOT NULL").where(~held_out())
+    good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality = 1").where(~held_out())
+    ids = rows.select("doc_id", F.xxhash64("doc_id", "text", "_row").alias("h"), "_row")
+
+    def some(of: DataFrame, kind: int) -> DataFrame:
+        chosen = F.broadcast(of.orderBy("h", "_row").limit(sample).select("_row"))  # `sample` longs
+        return rows.join(chosen, "_row", "left_semi").select(F.lit(kind).alias("kind"), "text")
+
+    got = _features_of(some(ids.join(good.select("doc_id"), "doc_id", "left_semi"), 1).unionByName(some(ids, 0))).toPandas()
     x, kind = np.array(got["x"].tolist(), dtype=np.float64).reshape(-1, N_FEATURES), got["kind"].to_numpy()
     if not (kind == 1).any() or not (kind == 0).any():
         return Model.constant()
-    order = np.lexsort(np.vstack([x.T, kind]))  # rows arrive in any order; the fit shall not depend on it
-    x, kind = x[order], kind[order]
-    return fit(x[kind == 1], x[kind == 0], prior)
+    x = x[np.lexsort(np.vstack([x.T, kind]))]  # rows arrive in any order; the fit shall not depend on it
+    positive, some_web = x[-int((kind == 1).sum()) :], x[: int((kind == 0).sum())]
+    summed = cells(rows, *planes(some_web))
+    n, sums, squares = summed[:, 0], summed[:, 1 : 1 + N_FEATURES], summed[:, 1 + N_FEATURES :]
+    mean = sums.sum(0) / n.sum()
+    moments = mean, np.sqrt(np.maximum(0, squares.sum(0) / n.sum() - mean * mean))
+    web = sums / n[:, None]
+    return fit(positive, web, class_prior(positive, some_web, moments), n, moments)
 
 
 def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
@@ -173,11 +232,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     """The rows whose text the model scores at least `keep`, with their own columns; a filter by an Arrow function, so
-    that no text is shuffled."""
+    that no text is shuffled. Null texts are scored as empty."""
+
     @F.pandas_udf("double")
     def scored(text: pd.Series) -> pd.Series:
-        return pd.Series([float(model.score(features(t or "")[None])[0]) for t in text])
+        return pd.Series(model.score(np.array([features(t or "") for t in text]).reshape(-1, N_FEATURES)))
 
     return docs.where(scored(F.col("text")) >= keep)
-
-
