@@ -28,6 +28,8 @@ def work_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local"):  # local and local-cluster run on one machine
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="laminaspark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -180,11 +182,30 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+#: Rows of a join from which on its hot keys are looked for, and the parts over which the rows of such a key are dealt.
+SALTED, SALTS = 1_000_000, 64
+
+
+def join_hot(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with `one`, which has one row a key, where a key may hold any share of the `total` rows. Keys with over a
+    thousandth of them (fewer than a thousand, whatever the table) are dealt over SALTS parts, and their row in `one` is
+    sent to each. (AQE doesn't split a join whose one side is an aggregate by the key.)"""
+    if total < SALTED:
+        return rows.join(one, key)
+    hot = [r[0] for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * 1000 > total).select(key).collect()]
+    if not hot:
+        return rows.join(one, key)
+    is_hot = F.col(key).isin(hot)
+    dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0))
+    every = one.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(every, [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (node, component), component the smallest node.
 
     Alternating large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond"). Each step
-    is an aggregate with partial sums and an equi-join, whose hot keys AQE splits; no adjacency list is ever gathered.
+    is an aggregate with partial sums and an equi-join whose hot keys are salted; no adjacency list is ever gathered.
     Nodes of any type that orders. Null ends and loops are left out. Raises if `most_rounds` don't reach the fixpoint."""
     now = staged(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(now)
@@ -193,9 +214,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = join_hot(both.where("v > u"), least, "u", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
+        small = join_hot(large, low, "u", state[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         now = staged(small)
         before, state = state, _state(now)
         if before == state:

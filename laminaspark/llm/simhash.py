@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminaspark.llm.common import LOWER, UPPER, components, over_batches, read, slices, staged
+from laminaspark.llm.common import LOWER, UPPER, components, join_hot, over_batches, read, slices, staged
 
 WORDS, SEED, THRESHOLD = 4, 42, 4
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -67,8 +67,10 @@ class Covering:
 
     RADIUS, N = 1, 15
 
-    def __init__(self, first: int, bits: int, threshold: int):
-        self.first, self.bits, self.threshold = first, bits, threshold
+    def __init__(self, first: int, bits: int, threshold: int, second: tuple[int, int] = (0, 0)):
+        """Of `bits` bits from `first` on and, if given, those of a second block behind them."""
+        self.first, self.own, self.second, self.threshold = first, bits, second, threshold
+        self.bits = bits = bits + second[1]
         near: dict[int, list[tuple[int, int]]] = {s: [] for s in range(16)}  # syndrome: (mask, how far beyond the radius)
         for weight in range(self.RADIUS + threshold + 1):
             for at in itertools.combinations(range(self.N), weight):
@@ -87,7 +89,9 @@ class Covering:
             self.syndrome ^= np.where(words >> k & 1, k + 1, 0)
 
     def word(self, fp: np.ndarray) -> np.ndarray:
-        return (fp >> np.uint64(self.first)).astype(np.uint64) & np.uint64((1 << self.bits) - 1)
+        first = (fp >> np.uint64(self.first)).astype(np.uint64) & np.uint64((1 << self.own) - 1)
+        at, bits = self.second
+        return first | ((fp >> np.uint64(at)) & np.uint64((1 << bits) - 1)) << np.uint64(self.own) if bits else first
 
     def copies(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Anchors (a row a fingerprint, the home in column 0) and which of them are there."""
@@ -95,17 +99,29 @@ class Covering:
         masks = self.masks[self.syndrome[word & ((1 << self.N) - 1)]]
         return word[:, None] ^ np.maximum(masks, 0), masks >= 0
 
+    def cost(self, distinct: int) -> tuple[float, float]:
+        """Copies of a fingerprint, and fingerprints that it is compared with, on average over evenly spread ones."""
+        copies = float((self.masks >= 0).sum(axis=1).mean())
+        return copies, distinct * copies / (1 << self.bits - 4)
 
-#: Distinct fingerprints up to which three blocks serve; beyond, two wide ones, whose many more anchors keep cells small.
-NARROW = 50_000_000
+
+#: Comparisons that cost as much as one copy of a fingerprint, which is made, sent and sorted.
+WORTH = 500
 
 
 def covers(distinct: int, threshold: int = THRESHOLD) -> list[Covering]:
-    """Disjoint blocks of the 64 bits. If two fingerprints differ in `threshold` bits or fewer, they differ in at most
-    threshold // blocks of them in some block, so that is the block's threshold. Any choice finds the same links; the number
-    of fingerprints only sets the sizes of cells, as a number of partitions would."""
-    widths = (21, 21, 22) if distinct <= NARROW else (32, 32)
-    return [Covering(sum(widths[:k]), n, threshold // len(widths)) for k, n in enumerate(widths)]
+    """Blocks of the 64 bits such that fingerprints which differ in `threshold` bits or fewer differ in few bits of some block.
+    Three blocks of 21 or 22 bits: in one at most a third of them. Five blocks by pairs, of 25 or 26 bits: in the two least of
+    them at most two fifths. Two blocks of 32 bits: in one at most half. Any choice finds the same links; the one is taken
+    whose copies and comparisons cost least for this number of fingerprints."""
+    three, five = (21, 21, 22), (13, 13, 13, 13, 12)
+    at = [sum(five[:k]) for k in range(5)]
+    plans = [
+        [Covering(sum(three[:k]), n, threshold // 3) for k, n in enumerate(three)],
+        [Covering(at[i], five[i], 2 * threshold // 5, (at[j], five[j])) for i, j in itertools.combinations(range(5), 2)],
+        [Covering(k, 32, threshold // 2) for k in (0, 32)],
+    ]
+    return min(plans, key=lambda blocks: sum(copies + compared / WORTH for copies, compared in (b.cost(distinct) for b in blocks)))
 
 
 #: Fingerprints compared at once inside an anchor.
@@ -198,7 +214,7 @@ def links(distinct: DataFrame, count: int, threshold: int = THRESHOLD, cover: Se
                     home = np.zeros_like(there)
                     home[:, 0] = True
                     rows = np.broadcast_to(part[:, None], there.shape)[there]
-                    out.append(pa.table({"cell": (anchors[there] << 2) | k, "fp": rows.view(np.int64), "home": home[there]}))
+                    out.append(pa.table({"cell": (anchors[there] << 4) | k, "fp": rows.view(np.int64), "home": home[there]}))
             return pa.concat_tables(out)
 
         return f
@@ -240,7 +256,7 @@ def links(distinct: DataFrame, count: int, threshold: int = THRESHOLD, cover: Se
         if held is not None:
             yield from send(held)
 
-    key = F.shiftleft("cell", 29).bitwiseOR(F.col("tile"))  # 34 bits of cell, 29 of tile
+    key = F.shiftleft("cell", 27).bitwiseOR(F.col("tile"))  # 36 bits of cell, 27 of tile
     dealt = copies.select(key.alias("key"), "fp", "home").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(near, "a long, b long").distinct()
 
@@ -250,10 +266,11 @@ def near_components(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     smallest doc_id that can be reached, itself included. Equal fingerprints are first reduced to one."""
     prints = staged(prints)
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(links(distinct, distinct.count(), threshold))
+    count = distinct.count()
+    joined = components(links(distinct, count, threshold))
     of = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     small = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of.join(small, "component").select("fp", "component_id")
+    named = join_hot(of, small, "component", count).select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

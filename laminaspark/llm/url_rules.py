@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminaspark.llm.common import LOWER, UPPER, components, read, staged
+from laminaspark.llm.common import LOWER, UPPER, components, join_hot, read, staged
 
 #: (verdict, host, path); a rule fits its host and all subdomains where the url's path starts with its own.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -94,11 +94,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redir
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     if edges.isEmpty():  # no page has an alias: the rules alone decide
         return own.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.lit(DEFAULT)).alias("verdict"))
-    member = components(edges)
+    member = staged(components(edges))
     node_host, node_path = F.regexp_extract("node", r"^([^/]*)", 1), F.regexp_extract("node", r"^[^/]*([^?]*)", 1)
     told = member.withColumn("told", rule_of(node_host, node_path, rules)[1]).groupBy("component").agg(F.max(F.col("told") == "allow").alias("allowed"), F.max(F.col("told") == "block").alias("blocked"))
     shared = F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").otherwise(DEFAULT)
-    spread = member.join(told, "component").select("node", shared.alias("spread"))
+    spread = join_hot(member, told, "component", member.count()).select("node", shared.alias("spread"))
     clean = F.regexp_replace(F.substr(F.col("url"), F.locate("://", F.col("url")) + 3), r"#.*$", "")
     node = F.when(F.locate("://", F.col("url")) > 0, node_of(clean))
     # Only pages without a rule of their own ask for their component.
