@@ -196,6 +196,41 @@ def test_representatives(odd, docs, texts):
     assert len(simhash.representatives(odd).collect()) == len({c for c in by_brute_force([(k, simhash_of(r.text)) for k, r in enumerate(odd.select("text").collect())])})
 
 
+def test_cover_plans():
+    """The number of fingerprints chooses the blocks by cost; every plan covers all pairs (see the test above for two counts)."""
+    assert [len(simhash.covers(n)) for n in (10**6, 10**9, 10**10)] == [3, 10, 2]
+    rng = np.random.default_rng(6)
+    for n in (10**6, 10**9, 10**10):
+        blocks = simhash.covers(n)
+        x = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 300).astype(np.uint64)
+        y = x.copy()
+        for k in range(300):
+            for bit in rng.choice(64, 4, replace=False):
+                y[k] ^= np.uint64(1) << np.uint64(bit)
+        met = np.zeros(300, dtype=bool)
+        for b in blocks:
+            home, there = b.copies(x)[0][:, :1], b.copies(y)
+            met |= ((there[0] == home) & there[1]).any(axis=1)
+        assert met.all()
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    """A hub with half of the edges is salted, and nothing else changes."""
+    from laminaspark.llm import common
+
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("u"), F.col("id").alias("v"))
+    least = rows.groupBy("u").agg(F.min("v").alias("m"))
+    want = Counter(map(tuple, rows.join(least, "u").collect()))
+    assert Counter(map(tuple, common.join_hot(rows, least, "u", 20_000).collect())) == want
+    monkeypatch.setattr(common, "SALTED", 100)
+    salted = common.join_hot(rows, least, "u", 20_000)
+    assert Counter(map(tuple, salted.collect())) == want
+    plan = salted._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+    edges = rows.select(F.lit(-1).cast("long").alias("a"), F.col("v").alias("b")).unionByName(rows.select(F.col("v").alias("a"), (F.col("v") + 100_000).alias("b")))
+    assert {r.component for r in components(edges).collect()} == {-1}
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2))] + [(1000, k) for k in range(1001, 1300)] + [(k, k + 1) for k in range(2000, 2100)] + [(7, 7)]

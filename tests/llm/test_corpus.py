@@ -50,6 +50,40 @@ def test_shards_of_a_hot_group(spark):
     assert sum(len(s) > 1 for s in small.values()) <= 7
 
 
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_shards_of_equal_rows(spark, doc_id):
+    """Equal texts of one id, or none, are a group that can be cut all the same."""
+    rows = [(doc_id, "the same text")] * 4000
+    total = check_shards(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect(), rows)
+    assert max(total) / min(total) < 1.3
+
+
+def test_shards_by_a_tree_in_plain_python(spark, docs):
+    """Every cut of the tree, made again from all rows: the widest dimension, at the weighted median or beside a group's edge."""
+    rows = sharding.staged(sharding.metadata(docs))
+    tree, leaves = sharding.kd_tree(rows)
+    got = [r.asDict() for r in tree.collect()]
+    spread = {d: max(1, max(r[d] for r in got) - min(r[d] for r in got)) for d in sharding.DIMENSIONS}
+
+    def check(part, leaves):
+        if len(leaves) == 1:
+            return
+        mine = [r for r in part if r["node"] in leaves]
+        left = [r for r in mine if r["node"] in leaves[: len(leaves) // 2]]
+        right = [r for r in mine if r["node"] in leaves[len(leaves) // 2 :]]
+        widest = max(sharding.DIMENSIONS, key=lambda d: (max(r[d] for r in mine) - min(r[d] for r in mine)) / spread[d])
+        key = lambda r: (r[widest], r["group"], r["tie"])
+        if max(map(key, left)) >= min(map(key, right)):  # cut inside a group by tie, else between groups
+            assert False, "a cut out of order"
+        size = sum(r["size"] for r in mine)
+        edge = max(r["size"] for r in mine)
+        assert abs(sum(r["size"] for r in left) - size / 2) <= max(edge, sharding.SNAP * size / len(leaves) + 1)
+        check(left, leaves[: len(leaves) // 2])
+        check(right, leaves[len(leaves) // 2 :])
+
+    check(got, list(range(leaves)))
+
+
 def test_shards_of_odd_rows(odd, none):
     check_shards(sharding.shard(odd).collect(), [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()])
     assert sharding.shard(none).count() == 0
@@ -88,11 +122,43 @@ def test_quality_of_odd_rows(odd, none, model):
     assert kept.columns == odd.columns and kept.count() == sum(r.predicted for r in got)
 
 
-def test_quality_learns_nothing_from_negatives(spark, docs, sf, model):
-    """Scores depend on text alone, and a fit on the same rows gives the same scores."""
+def test_quality_learns_nothing_from_negatives(spark, docs, sf):
+    """The model is the same without negatives, with others, and with rows dealt otherwise; scores depend on text alone."""
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    a, b = (quality.train(x, labels) for x in (docs, docs.repartition(3)))
-    assert np.allclose(a.w1, b.w1) and a.prior == b.prior
+    good = labels.where("quality = 1")
+    other = good.unionByName(docs.selectExpr("doc_id + 1000000 AS doc_id", "0 AS quality", "0 AS toxic")).unionByName(labels.where("quality = 0").limit(3))
+    a = quality.train(docs, labels)
+    for d, l in ((docs.repartition(3), labels), (docs, good), (docs, other)):
+        b = quality.train(d, l)
+        assert np.allclose(a.w1, b.w1) and np.isclose(a.prior, b.prior)
+
+
+def test_quality_sees_a_bounded_sample(spark, docs, sf, monkeypatch):
+    """One labelled id on most rows sends no more rows to the driver than the sample, and leaves the rest to learn from."""
+    seen = []
+    plain = quality.planes
+    monkeypatch.setattr(quality, "planes", lambda x: seen.append(len(x)) or plain(x))
+    one = docs.where("doc_id = 1").select(quality.F.lit(1).cast("long").alias("doc_id"), "text").limit(1)
+    rows = docs.select("doc_id", "text").unionByName(one.withColumn("k", quality.F.explode(quality.F.sequence(quality.F.lit(1), quality.F.lit(3000)))).drop("k"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").unionByName(spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    model = quality.train(rows, labels, sample=100)
+    assert seen == [100] and model.w1.any() and 0.02 <= model.prior <= 0.98
+
+
+def test_cells_hold_all_texts(docs, texts):
+    """Sums over the cells are sums over all texts."""
+    x = np.array([quality.features(t or "") for t in texts.values()])
+    got = quality.cells(docs, *quality.planes(x[:50]))
+    assert got[:, 0].sum() == len(x) and 1 < len(got) <= 1 << quality.PLANES
+    assert np.allclose(got[:, 1 : 1 + quality.N_FEATURES].sum(0), x.sum(0)) and np.allclose(got[:, 1 + quality.N_FEATURES :].sum(0), (x * x).sum(0))
+
+
+def test_class_prior():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.85):
+        p = rng.normal(1.5, 1, (1500, 3))
+        u = np.concatenate([rng.normal(1.5, 1, (int(4000 * share), 3)), rng.normal(-1.5, 1, (int(4000 * (1 - share)), 3))])
+        assert abs(quality.class_prior(p, u) - share) < 0.07
 
 
 def test_quality_without_evidence(spark, docs, sf, odd, none):

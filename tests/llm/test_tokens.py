@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import math
 import zlib
 from collections import Counter
@@ -63,6 +64,21 @@ def test_token_counts_begin_anew(monkeypatch, texts):
     assert token_counts.ScoreTrie(pieces).tokens(words) == whole
 
 
+def test_token_counts_in_a_bounded_trie(monkeypatch):
+    """Many distinct words in one text, and one long word, leave a trie within its bounds and change no count."""
+    rng, pieces = np.random.default_rng(4), token_counts.zipf_pieces()
+    words = [f" {k:x}" for k in rng.integers(0, 1 << 40, 30_000)]
+    whole = token_counts.ScoreTrie(pieces).tokens(words + words[:999])
+    monkeypatch.setattr(token_counts, "NODES", 4000)
+    monkeypatch.setattr(token_counts, "HELD", 500)
+    trie = token_counts.ScoreTrie(pieces)
+    assert trie.tokens(words + words[:999]) == whole and len(trie.score) <= 4000 and len(trie.words) <= 500
+    long = "".join(rng.choice(list("abcdefghij é"), 3000))
+    trie = token_counts.ScoreTrie(pieces)
+    assert trie.tokens([long, "a", long]) == 2 * segment(long.encode(), pieces) + 1 and len(trie.score) < 400
+    assert trie.tokens(["x" * 200_000]) > 0 and len(trie.score) < 800
+
+
 def test_odd_rows(odd, none):
     for f in (token_counts.token_counts, encoding.encode):
         got = f(odd).collect()
@@ -102,6 +118,35 @@ def test_packing_odd_rows(odd):
     check_packing(packing.pack(odd).collect(), [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()], 2048)
 
 
+def test_packing_ties(spark):
+    """Rows that share id, piece and length, and rows of no id, get places of their own, also after chunks are dealt."""
+    rows = [(7, "same words here")] * 300 + [(7, "same words there")] * 300 + [(None, "same words here")] * 300
+    used, bound = check_packing(packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect(), rows, 2048)
+    assert used <= bound + 1
+
+
+def test_ids_only_of_a_plain_file():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        settings = json.load(f)
+    ranks = packing._checked("byte_bpe_50k")[0]
+    assert packing.plain(settings, ranks)
+    token = settings["added_tokens"][0]
+    for change in ({"normalizer": {"type": "NFC"}}, {"added_tokens": [token, token | {"content": "<x>"}]}, {"pre_tokenizer": settings["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": settings["model"] | {"dropout": 0.1}}, {"model": settings["model"] | {"vocab": dict(list(settings["model"]["vocab"].items())[:-1])}}):
+        assert not packing.plain(settings | change, ranks)
+    slow = packing.Ids()
+    slow.plain = False
+    assert slow("some text") == packing.Ids()("some text")
+
+
+IDS = packing.Ids()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_ids_of_any_text(text):
+    assert IDS(text) == FILE.encode(text, add_special_tokens=False).ids
+
+
 def test_fullest_by_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(60):
@@ -165,6 +210,17 @@ def test_long_words(monkeypatch, tik, texts, least):
         assert back == w.encode() and np.frombuffer(ids, "<u4").tolist() == tik._core_bpe.encode_single_piece(w.encode())
 
 
+def test_words_without_a_space(tik):
+    """A million letters in one word, and long runs: cut where no token reaches across, encoded as the whole would be."""
+    bpe, rng = encoding.Bpe(encoding.ranks_of("byte_bpe_multi_50k.tiktoken")), np.random.default_rng(8)
+    for letters, n in (("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/", 1_000_000), ("étonauxbdhi", 20_000), ("a", 20_000), ("the", 9_000)):
+        word = letters * n if len(letters) in (1, 3) else "".join(rng.choice(list(letters), n))
+        assert b"".join(bpe.segments(word.encode())) == word.encode()
+        bpe.learn([word])
+        assert bpe.decoded[word] == word.encode()
+        assert np.frombuffer(bpe.ids[word], "<u4").tolist() == tik._core_bpe.encode_single_piece(word.encode())
+
+
 def test_generations(monkeypatch, docs, texts, tik):
     monkeypatch.setattr(encoding, "REMEMBERED", 100)
     bpe = encoding.Bpe(encoding.ranks_of("byte_bpe_multi_50k.tiktoken"))
