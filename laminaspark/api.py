@@ -137,8 +137,11 @@ class Reader:
             raise ValueError(f"frames [{start}, {end}) are outside [0, {self.frame_count})")
         return start, end
 
-    def caus(self, start: int = 0, end: int | None = None, layers: Sequence[int] | None = None) -> DataFrame:
+    def caus(self, start: int = 0, end: int | None = None, layers: Sequence[int] | None = None, preroll: bool = False) -> DataFrame:
+        """Composite frames [start, end); with preroll from the access point before start on, as codecs with references need."""
         start, end = self._check(start, end)
+        if preroll:
+            return lvd.read(self.spark, self.path, layers=layers, **{"from": start, "to": end})
         return lvd.read(self.spark, self.path, layers=layers).where((F.col("frame_index") >= start) & (F.col("frame_index") < end))
 
     def decode(self, start: int = 0, end: int | None = None, layers: Sequence | None = None) -> DataFrame:
@@ -242,8 +245,9 @@ def add_layer(spark: SparkSession, path: str, images: DataFrame, layer: dict, ou
     at = len(meta["layers"])
     meta["layers"].append(layer)
     own = entries_of(images.withColumn("layer_index", F.lit(at)), [layer], r.frame_count, r.meta["max_rap_interval"], {layer["id"]: at})
-    raps = F.col("frame").isin(*r.raps) | (F.col("frame") == layer["start_frame"])
-    keyed = own.withColumn("entry", F.col("entry").withField("frame_flags", ((F.col("entry.kind") == 1) & raps).cast("int")))
+    raps = lvd.read(spark, r.path, table="index").where(F.col("flags").bitwiseAND(F.lit(1)) == 1).select(F.col("frame_index").alias("frame"), F.lit(True).alias("rap"))
+    flagged = own.join(raps, "frame", "left").withColumn("rap", F.col("rap").isNotNull() | (F.col("frame") == layer["start_frame"]))
+    keyed = flagged.select("frame", F.col("entry").withField("frame_flags", ((F.col("entry.kind") == 1) & F.col("rap")).cast("int")).alias("entry"))
     return _rewrite(r, out or path, meta, set(), keyed)
 
 

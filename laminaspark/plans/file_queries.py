@@ -10,6 +10,7 @@ from laminaspark.functions.timegrid import frame_at_us
 from laminaspark.plans.base import EV, FPS, FRAMES, KINDS, query, table
 from laminaspark.plans.grid_queries import _STICKY
 from laminaspark.sources import lvd, testsrc
+from laminaspark.sources.layout import pack_index
 from laminaspark.sources.shared import local, shared_dir
 from laminaspark.sources.validate import faults, validate
 from laminaspark.streaming.stateful import assemble_stream, sticky_stream
@@ -38,10 +39,19 @@ def q57_stream_sticky(spark, sf):
     return rows.groupBy("frame", "layer_index").agg(F.max_by("image", "us").alias("image"))
 
 
-@query(f"WITH {EV}, done AS (SELECT f AS frame, count(c.frame) = 3 AS complete FROM generate_series(0, 719) t(f) LEFT JOIN cells c ON c.frame = f AND layer_index IN (0, 2, 4) GROUP BY f) SELECT file, frame FROM (SELECT frame // 24 AS file, frame, bool_and(complete) OVER (PARTITION BY frame // 24 ORDER BY frame) AS released FROM done) WHERE released")
+@query(f"WITH {EV}, done AS (SELECT f AS frame, count(c.frame) = 5 AS complete FROM generate_series(0, 719) t(f) LEFT JOIN cells c ON c.frame = f GROUP BY f) SELECT file, frame FROM (SELECT frame // 24 AS file, frame, bool_and(complete) OVER (PARTITION BY frame // 24 ORDER BY frame) AS released FROM done) WHERE released")
 def q58_stream_assemble(spark, sf):
-    planes = _event_stream(spark, sf).where("layer_index IN (0, 2, 4)").select(F.expr("frame div 24").alias("file"), "frame", "layer_index")
-    return _drain(spark, assemble_stream(planes, (0, 2, 4), 24), "assemble")
+    planes = _event_stream(spark, sf).select(F.expr("frame div 24").alias("file"), "frame", "layer_index", "us")
+    return _drain(spark, assemble_stream(planes, range(len(KINDS)), 24), "assemble").select("file", "frame")
+
+
+@query(f"""WITH {EV}, done AS (SELECT frame // 24 AS file, frame, count(*) = 5 AS complete FROM cells GROUP BY 1, 2), ends AS (SELECT file, max(frame) AS last FROM done GROUP BY 1),
+every AS (SELECT f // 24 AS file, f AS frame, coalesce(complete, false) AS complete, last FROM generate_series(0, 719) t(f) JOIN ends ON ends.file = f // 24 LEFT JOIN done ON done.frame = f)
+SELECT file, frame, NOT complete AS lost FROM (SELECT *, bool_and(complete OR frame <= last - 3) OVER (PARTITION BY file ORDER BY frame) AS went FROM every) WHERE went""")
+def q77_stream_lost(spark, sf):
+    """Frames in order, where one that lacks a plane three frames later is given up as a whole."""
+    planes = _event_stream(spark, sf).select(F.expr("frame div 24").alias("file"), "frame", "layer_index", "us")
+    return _drain(spark, assemble_stream(planes, range(len(KINDS)), 24, patience=3), "lost")
 
 
 def _made(spark, name, frames, change=None):
@@ -49,13 +59,7 @@ def _made(spark, name, frames, change=None):
     folder = local(shared_dir(spark, "lvd"))
     os.makedirs(folder, exist_ok=True)
     path = f"{folder}/{name}.lvd"
-    pack = lvd.pack_index
-    if change:
-        lvd.pack_index = lambda rows: pack(change(rows))
-    try:
-        lvd.write_file(path, testsrc.meta(), testsrc.resources(), iter(frames))
-    finally:
-        lvd.pack_index = pack
+    lvd.write_file(path, testsrc.meta(), testsrc.resources(), iter(frames), (lambda rows: pack_index(change(rows))) if change else pack_index)
     return path
 
 

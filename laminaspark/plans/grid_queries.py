@@ -276,10 +276,12 @@ def q51_preroll(spark, sf):
     return span.select("frame", "layer_index", "image", (F.col("frame") >= 310).alias("shown"))
 
 
-@query(f"WITH {EV} SELECT event_id, frame, us FROM ev WHERE frame * 3600000000 > us OR us >= (frame + 1) * 3600000000 OR frame <> us // 3600000000")
+@query(f"WITH {EV} SELECT event_id, frame, CAST(CASE WHEN event_id % 50 = 7 THEN us + 3600000000 WHEN event_id % 50 = 8 THEN us - 3600000000 ELSE us END AS BIGINT) AS us FROM ev WHERE event_id % 50 IN (7, 8)")
 def q52_sync_assert(spark, sf):
-    """Frames whose own time contradicts the times that they hold; none."""
-    return grid.outside_window(events(spark, sf), FPS, "frame", "us").select("event_id", "frame", "us")
+    """Packets whose time contradicts the frame that carries them: those that a rule has put an hour off, and no others."""
+    n, us = F.col("event_id") % 50, F.col("us")
+    planted = events(spark, sf).withColumn("us", F.when(n == 7, us + 3_600_000_000).when(n == 8, us - 3_600_000_000).otherwise(us))
+    return grid.outside_window(planted, FPS, "frame", "us").select("event_id", "frame", "us")
 
 
 @query(f"WITH {EV} SELECT (2 * us) // 1800000000 AS frame, count(*) AS packets, min(us) AS first_us, max(us) AS last_us FROM ev WHERE us < 500 * 900000000::BIGINT GROUP BY 1")
@@ -311,22 +313,26 @@ def q50_onsets(spark, sf):
 i1 AS (SELECT 'I1' AS code, k AS frame FROM (SELECT row_number() OVER (ORDER BY frame) - 1 AS k, claimed, coalesce(lag(claimed) OVER (ORDER BY frame) + 1, 0) AS e FROM actual) WHERE claimed <> e),
 want AS (SELECT frame, frame % 24 = 0 AS rap FROM raps)
 SELECT code, frame FROM i1 UNION ALL SELECT 'I1', NULL FROM (SELECT count(*) AS n FROM actual) WHERE n <> 720
-UNION ALL SELECT 'I3', frame FROM caus WHERE kind = 1 AND image IS NULL AND frame % 97 = 0
+UNION ALL SELECT 'I3', frame FROM caus WHERE kind = 1 AND image IS NULL
 UNION ALL SELECT 'I6', r.frame FROM raps r JOIN want w USING (frame) WHERE r.rap <> w.rap
 UNION ALL SELECT 'I7', frame FROM raps WHERE frame = 0 AND NOT rap
 UNION ALL SELECT 'I8', frame FROM (SELECT frame, lead(frame) OVER (ORDER BY frame) AS nf FROM raps WHERE rap) WHERE nf - frame > 24
-UNION ALL SELECT 'I10', a.frame FROM raps a JOIN want w USING (frame) WHERE a.frame % 100 = 50 AND a.frame * 16 <> w.frame * 16 + 4""")
+UNION ALL SELECT 'I10', frame FROM (SELECT frame, place, CASE WHEN frame % 100 = 50 THEN place + 4 WHEN frame % 240 = 7 THEN place - least(place, 64) ELSE place END AS claimed
+  FROM (SELECT frame, 64 + coalesce(sum(20 + coalesce(bytes, 0)) OVER (ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM (SELECT frame, sum(bytes) AS bytes FROM caus GROUP BY 1))) WHERE claimed <> place""")
 def q56_validate_all(spark, sf):
     """The grid's rules over a table with deterministic faults, as one issues table."""
     caus, flags = faulty(spark, sf), grid.rap_flags(faulty(spark, sf), ["frame"])
     actual = flags.where("frame <> 400").withColumn("claimed", F.when(F.col("frame") == 200, 201).otherwise(F.col("frame"))).withColumn("file", F.lit(0))
     i1 = grid.continuity(actual, "file", ["frame"], "claimed").select(F.lit("I1").alias("code"), F.col("k").alias("frame"))
     count = actual.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != FRAMES).select(F.lit("I1").alias("code"), F.lit(None).cast("long").alias("frame"))
-    i3 = caus.where("kind = 1 AND image IS NULL AND frame % 97 = 0").select(F.lit("I3").alias("code"), "frame")
+    i3 = caus.where("kind = 1 AND image IS NULL").select(F.lit("I3").alias("code"), "frame")
     i6 = flags.where(F.col("rap") != (F.col("frame") % GOP == 0)).select(F.lit("I6").alias("code"), "frame")
     i7 = flags.where("frame = 0 AND NOT rap").select(F.lit("I7").alias("code"), "frame")
     i8 = grid.rap_gaps(flags.where("rap").withColumn("file", F.lit(0)), ["file"], FRAMES, GOP).where("severity = 'error'").select(F.lit("I8").alias("code"), "frame")
-    i10 = flags.where("frame % 100 = 50").where(F.col("frame") * 16 != F.col("frame") * 16 + 4).select(F.lit("I10").alias("code"), "frame")
+    sized = caus.groupBy("frame").agg((F.coalesce(F.sum("bytes"), F.lit(0)) + 20).alias("size"))
+    placed = grid.global_offset(sized, "frame", "size", "at", 64).select("frame", "at")
+    claimed = placed.select("frame", F.when(F.col("frame") % 100 == 50, F.col("at") + 4).when(F.col("frame") % 240 == 7, F.col("at") - F.least("at", F.lit(64))).otherwise(F.col("at")).alias("claimed"))
+    i10 = edits.positional_match(placed, claimed, ["frame"]).where(~F.col("at").eqNullSafe(F.col("claimed"))).select(F.lit("I10").alias("code"), "frame")
     out = i1
     for part in (count, i3, i6, i7, i8, i10):
         out = out.unionByName(part)
@@ -356,12 +362,12 @@ def q64_entry_layer_join(spark, sf):
 
 
 @query("""WITH a AS (SELECT l_orderkey AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, l_linenumber AS found FROM lineitem),
-e AS (SELECT o_orderkey AS file, k AS pos, k::INT AS wanted FROM orders, generate_series(1, 4) t(k) WHERE o_orderkey % 3 = 0)
+e AS (SELECT o_orderkey AS file, k AS pos, k::INT AS wanted FROM orders, generate_series(1, 4) t(k))
 SELECT coalesce(a.file, e.file) AS file, coalesce(a.pos, e.pos) AS pos, found, wanted FROM a FULL JOIN e ON a.file = e.file AND a.pos = e.pos WHERE found IS DISTINCT FROM wanted""")
 def q65_index_vs_actual(spark, sf):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     actual = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.row_number().over(w).cast("long").alias("pos"), F.col("l_linenumber").alias("found"))
-    index = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("file"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))).alias("pos")).withColumn("wanted", F.col("pos").cast("int"))
+    index = table(spark, sf, "orders").select(F.col("o_orderkey").alias("file"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))).alias("pos")).withColumn("wanted", F.col("pos").cast("int"))
     return edits.positional_match(actual, index, ["file", "pos"]).where(~F.col("found").eqNullSafe(F.col("wanted")))
 
 
@@ -381,10 +387,10 @@ def q68_trim_last_packet(spark, sf):
     return _packets(spark, sf).select("p_partkey", F.when(last, F.greatest(F.col("samples") - 312, F.lit(0).cast("long"))).otherwise(F.col("samples")).alias("samples"))
 
 
-@query(f"WITH {EV}, done AS (SELECT f AS frame, count(c.frame) = 3 AS complete FROM generate_series(0, 719) t(f) LEFT JOIN cells c ON c.frame = f AND layer_index IN (0, 2, 4) GROUP BY f) SELECT frame // 24 AS day, frame, bool_and(complete) OVER (PARTITION BY frame // 24 ORDER BY frame) AS released FROM done")
+@query(f"WITH {EV}, done AS (SELECT f AS frame, count(c.frame) = 5 AS complete FROM generate_series(0, 719) t(f) LEFT JOIN cells c ON c.frame = f GROUP BY f) SELECT frame // 24 AS day, frame, bool_and(complete) OVER (PARTITION BY frame // 24 ORDER BY frame) AS released FROM done")
 def q69_release_in_order(spark, sf):
-    have = cells(spark, sf).where("layer_index IN (0, 2, 4)").groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
-    state = grid.frames(spark, FRAMES).join(have, "frame", "left").select(F.expr("frame div 24").alias("day"), "frame", (F.coalesce("n", F.lit(0)) == 3).alias("complete"))
+    have = cells(spark, sf).groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
+    state = grid.frames(spark, FRAMES).join(have, "frame", "left").select(F.expr("frame div 24").alias("day"), "frame", (F.coalesce("n", F.lit(0)) == len(KINDS)).alias("complete"))
     return grid.released(state, ["day"]).select("day", "frame", "released")
 
 

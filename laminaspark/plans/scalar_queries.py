@@ -184,11 +184,11 @@ def q48_props_json(spark, sf):
     return table(spark, sf, "events").select("event_id", core["k"].alias("k"), (scalars.finite(loose) / 10).alias("z"), scalars.finite(loose).isNotNull().alias("finite"))
 
 
-@query("SELECT vec_id, 64 AS n, CAST(floor(embedding[63]::DOUBLE * 1000000 + 0.5::DOUBLE) AS BIGINT) AS last_micro, 63 AS cropped FROM embeddings")
+@query("SELECT vec_id, 64 AS n, CAST(floor(embedding[63]::DOUBLE * 1000000 + 0.5::DOUBLE) AS BIGINT) AS last_micro, 63 AS cropped, array_to_string(list_transform(list_append(embedding[:63], embedding[63]), lambda x: CAST(floor(x::DOUBLE * 1000 + 0.5::DOUBLE) AS BIGINT)), ',') AS padded FROM embeddings")
 def q55_pad_even(spark, sf):
     """63 samples padded to an even number by repeating the last, and cropped back."""
     v = table(spark, sf, "embeddings").select("vec_id", pixels.pad_even(F.slice(doubles("embedding"), 1, 63)).alias("v"))
-    return v.select("vec_id", F.size("v").alias("n"), F.floor(F.element_at("v", -1) * 1000000 + 0.5).alias("last_micro"), F.size(F.slice("v", 1, 63)).alias("cropped"))
+    return v.select("vec_id", F.size("v").alias("n"), F.floor(F.element_at("v", -1) * 1000000 + 0.5).alias("last_micro"), F.size(F.slice("v", 1, 63)).alias("cropped"), F.array_join(F.transform("v", lambda x: F.floor(x * 1000 + 0.5).cast("string")), ",").alias("padded"))
 
 
 @query("SELECT doc_id, n_chars BETWEEN 1 AND 16384 AND doc_id + 1 BETWEEN 1 AND 16384 AND n_chars // 2 BETWEEN 1 AND n_chars AND 1 <= doc_id + 1 AS sides_ok, CASE WHEN length(text) > 40 THEN left(text, 40) || '…' ELSE text END AS short FROM documents")
@@ -239,20 +239,21 @@ def q72_ranges_etags(spark, sf):
     return pages.select("page_id", "spec", r["kind"].alias("kind"), r["from"].alias("from"), r["to"].alias("to"), scalars.etag(F.col("page_id") + 1, F.col("n"), F.col("page_id") * 1000003).alias("etag"))
 
 
-@query(f"""SELECT vec_id, {_SAMPLES}[1] AS red, 255 AS alpha, 256 AS bytes, vec_id % 4 <> 3 AS has_alpha, (vec_id * 7 + vec_id) % 256 AS pattern, ['image/png', 'text/css; charset=utf-8', 'application/octet-stream'][vec_id % 3 + 1] AS kind, 'a%20b%2Fc%2A~' || vec_id AS coded, CASE WHEN vec_id % 2 = 0 THEN '[::1]' ELSE 'host' END AS host, vec_id % 2 = 0 AS loopback FROM embeddings""")
+@query(f"""SELECT vec_id, {_SAMPLES}[1] AS red, 255 AS alpha, 256 AS bytes, array_to_string(flatten(list_transform({_SAMPLES}, lambda v: [v, v, v, 255])), ',') AS every, vec_id % 4 <> 3 AS has_alpha, (vec_id * 7 + vec_id) % 256 AS pattern, ['image/png', 'text/css; charset=utf-8', 'application/octet-stream'][vec_id % 3 + 1] AS kind, 'a%20b%2Fc%2A~' || vec_id AS coded, CASE WHEN vec_id % 2 = 0 THEN '[::1]' ELSE 'host' END AS host, vec_id % 2 = 0 AS loopback FROM embeddings""")
 def q73_image_forms(spark, sf):
     """Gray rows as RGBA, names of formats, generated patterns, and the viewer's text helpers."""
     n = F.col("vec_id")
     pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (n % k + 1).cast("int"))
     rgba = F.flatten(F.transform(samples(), lambda v: F.array(v, v, v, F.lit(255))))
     host = scalars.host_name(F.when(n % 2 == 0, "[::1]:80").otherwise("host:8080"))
-    return table(spark, sf, "embeddings").select("vec_id", rgba[0].alias("red"), rgba[3].alias("alpha"), F.size(rgba).alias("bytes"), scalars.has_alpha_name(pick(("rgba64le", "yuva420p", "pal8", "yuv420p"), 4)).alias("has_alpha"), ((n * 7 + n) % 256).alias("pattern"), scalars.content_type(pick(("x/a.png", "b.css", "c"), 3)).alias("kind"), F.concat(scalars.percent_encode(F.lit("a b/c*~")), n.cast("string")).alias("coded"), host.alias("host"), scalars.is_loopback(host).alias("loopback"))
+    return table(spark, sf, "embeddings").select("vec_id", rgba[0].alias("red"), rgba[3].alias("alpha"), F.size(rgba).alias("bytes"), F.array_join(F.transform(rgba, lambda v: v.cast("string")), ",").alias("every"), scalars.has_alpha_name(pick(("rgba64le", "yuva420p", "pal8", "yuv420p"), 4)).alias("has_alpha"), ((n * 7 + n) % 256).alias("pattern"), scalars.content_type(pick(("x/a.png", "b.css", "c"), 3)).alias("kind"), F.concat(scalars.percent_encode(F.lit("a b/c*~")), n.cast("string")).alias("coded"), host.alias("host"), scalars.is_loopback(host).alias("loopback"))
 
 
 @query(f"""WITH y AS (SELECT l_orderkey, l_partkey, l_linenumber, r AS y, g AS u, b AS v FROM ({_RGB}))
 SELECT l_orderkey, l_partkey, l_linenumber, CAST(least(greatest(floor((y - 16) * 255.0::DOUBLE / 219 + (v - 128)::DOUBLE * (2 * (1 - 0.2126::DOUBLE) * (255::DOUBLE / 224)) + 0.5::DOUBLE), 0), 255) AS INT) AS r,
+  CAST(least(greatest(floor((y - 16) * 255.0::DOUBLE / 219 - ((u - 128)::DOUBLE * (2 * 0.0722::DOUBLE * (1 - 0.0722::DOUBLE) / (1 - 0.2126::DOUBLE - 0.0722::DOUBLE) * (255::DOUBLE / 224)) + (v - 128)::DOUBLE * (2 * 0.2126::DOUBLE * (1 - 0.2126::DOUBLE) / (1 - 0.2126::DOUBLE - 0.0722::DOUBLE) * (255::DOUBLE / 224))) + 0.5::DOUBLE), 0), 255) AS INT) AS g,
   CAST(least(greatest(floor((y - 16) * 255.0::DOUBLE / 219 + (u - 128)::DOUBLE * (2 * (1 - 0.0722::DOUBLE) * (255::DOUBLE / 224)) + 0.5::DOUBLE), 0), 255) AS INT) AS b, y = 255 AND u = 255 AS opaque FROM y""")
 def q74_yuv_to_rgb(spark, sf):
     y, u, v = (F.col(c) for c in "rgb")
     out = pixels.yuv_to_rgb(y, u, v)
-    return _rgb(spark, sf).select("l_orderkey", "l_partkey", "l_linenumber", out[0].alias("red"), out[2].alias("blue"), pixels.is_opaque(F.array(y, u)).alias("opaque")).withColumnsRenamed({"red": "r", "blue": "b"})
+    return _rgb(spark, sf).select("l_orderkey", "l_partkey", "l_linenumber", out[0].alias("red"), out[1].alias("green"), out[2].alias("blue"), pixels.is_opaque(F.array(y, u)).alias("opaque")).withColumnsRenamed({"red": "r", "green": "g", "blue": "b"})

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from laminaspark.sources.layout import HEADER, RAP, Entry, FormatError, Frame, Header, Packet, pack_index, unpack_index, walk
+from laminaspark.sources.layout import FRAME, HEADER, RAP, Entry, FormatError, Frame, Header, Packet, pack_index, unpack_index, walk
 from laminaspark.sources.shared import local, shared_dir
 
 ENTRIES = "array<struct<layer_index:int,kind:int,frame_flags:int,color:binary,alpha:binary>>"
@@ -46,6 +46,40 @@ def open_file(path: str) -> Opened:
     return Opened(path, header, meta, rows, size)
 
 
+def check_index(file: Opened) -> None:
+    """Refuses an index that can't lead a scan: frames and offsets must rise from row to row, offsets lie among the composite
+    frames, and the first frame be an access point."""
+    h, rows = file.header, file.index
+    for (frame, _, at), (after, _, next_at) in zip(rows, rows[1:], strict=False):
+        if after <= frame or next_at <= at:
+            raise FormatError(f"{file.path}: index doesn't rise after frame {frame}")
+    if rows and not (h.cau_offset <= rows[0][2] and rows[-1][2] < h.index_offset):
+        raise FormatError(f"{file.path}: index points outside the composite frames")
+    if rows and not rows[0][1] & RAP:
+        raise FormatError(f"{file.path}: the first frame is no access point")
+
+
+def check_frame(c: Frame, meta: dict) -> None:
+    """Refuses a composite frame that its metadata contradicts: one entry a video layer in order, a picture where the layer is
+    active and only there, and an alpha plane where the layer has one."""
+    video = [(k, x) for k, x in enumerate(meta["layers"]) if x["kind"] == "video"]
+    if [e.layer_index for e in c.entries] != [k for k, _ in video]:
+        raise FormatError(f"frame {c.frame_index}: entries aren't the video layers in order")
+    for e, (k, x) in zip(c.entries, video, strict=True):
+        active = x["start_frame"] <= c.frame_index < x["end_frame"]
+        if active != (e.kind == FRAME) or (active and not e.color) or bool(e.alpha) != (active and bool(x.get("has_alpha"))):
+            raise FormatError(f"frame {c.frame_index}: layer {k} and its entry differ")
+
+
+def read_at(path: str, offset: int, layers: Sequence[int] | None = None) -> Frame:
+    """The one composite frame that starts at a byte offset."""
+    with open(local(path), "rb") as f:
+        end = Header.unpack(f.read(HEADER.size)).index_offset
+        if not HEADER.size <= offset < end:
+            raise FormatError(f"{path}: no composite frame at {offset}")
+        return next(walk(f, offset, end, None if layers is None else set(layers)))[2]
+
+
 def resource(path: str, meta: dict, layer: int) -> bytes:
     """A still layer's image."""
     at = meta["layers"][layer]["resource"]
@@ -62,6 +96,7 @@ class Span(InputPartition):
     first: int
     start: int
     end: int
+    index: tuple = ()
 
     def __post_init__(self):
         super().__init__(self.path)
@@ -69,8 +104,10 @@ class Span(InputPartition):
 
 class LvdReader(DataSourceReader):
     """Options: path (a file, or a folder of *.lvd), table (caus, index, walk), layers (indices to keep), spans (bytes a
-    partition aims at). `caus` follows the index and starts partitions at access points; `walk` ignores the index and gives
-    a last row with `fault` where the structure breaks."""
+    partition aims at), from and to (frames, of which reading starts at the access point before the first, so that codecs
+    which need earlier frames find them), strict (holds frames to the metadata too). `caus` follows the index, starts
+    partitions at access points and checks each frame against its row of the index; `walk` ignores the index and gives a
+    last row with `fault` where the structure breaks."""
 
     def __init__(self, options):
         self.table = options.get("table", "caus")
@@ -79,6 +116,8 @@ class LvdReader(DataSourceReader):
         self.layers = {int(x) for x in options["layers"].split(",")} if options.get("layers") else None
         self.aim = int(options.get("spans", 32 << 20))
         self.low, self.high = 0, 1 << 62
+        self.start, self.stop = int(options.get("from", 0)), int(options.get("to", 1 << 62))
+        self.strict = str(options.get("strict", "false")).lower() == "true"
 
     def pushFilters(self, filters: list[Filter]):
         """Bounds on frame_index choose spans by the index; rows outside are dropped while reading."""
@@ -97,16 +136,18 @@ class LvdReader(DataSourceReader):
         out = []
         for path in self.paths:
             file = open_file(path)
+            check_index(file)
             ends = [r[2] for r in file.index[1:]] + [file.header.index_offset]
-            inside = [k for k, r in enumerate(file.index) if self.low <= r[0] <= self.high]
+            before = [r[0] for r in file.index if r[1] & RAP and r[0] <= self.start]
+            low = max(self.low, before[-1] if before else self.start)
+            inside = [k for k, r in enumerate(file.index) if low <= r[0] <= self.high and r[0] < self.stop]
             held: list[int] = []
-            for k in inside:
-                if held and file.index[k][1] & RAP and ends[held[-1]] - file.index[held[0]][2] >= self.aim:
-                    out.append(Span(path, held[0], file.index[held[0]][2], ends[held[-1]]))
+            for k in [*inside, None]:
+                if held and (k is None or (file.index[k][1] & RAP and ends[held[-1]] - file.index[held[0]][2] >= self.aim)):
+                    out.append(Span(path, held[0], file.index[held[0]][2], ends[held[-1]], tuple(file.index[j] for j in held)))
                     held = []
-                held.append(k)
-            if held:
-                out.append(Span(path, held[0], file.index[held[0]][2], ends[held[-1]]))
+                if k is not None:
+                    held.append(k)
         return out
 
     def read(self, partition: Span) -> Iterator[tuple]:
@@ -121,8 +162,13 @@ class LvdReader(DataSourceReader):
                 start, end = header.cau_offset, header.index_offset
             k = partition.first
             at = start
+            meta = open_file(partition.path).meta if self.strict and self.layers is None else None
             try:
                 for at, size, c in walk(f, start, end, self.layers):
+                    if partition.index and (c.frame_index, c.flags & RAP, at) != (partition.index[k - partition.first][0], partition.index[k - partition.first][1] & RAP, partition.index[k - partition.first][2]):
+                        raise FormatError(f"{partition.path}: frame {c.frame_index} at {at} isn't what the index says")
+                    if meta and self.table == "caus":
+                        check_frame(c, meta)
                     at += size
                     if self.table == "walk" or self.low <= c.frame_index <= self.high:
                         yield partition.path, k, at - size, size, c.frame_index, c.flags, c.reserved_13, c.reserved_18, [e.row() for e in c.entries], [p.row() for p in c.audio], None
@@ -177,8 +223,9 @@ def encode_meta(meta: dict) -> bytes:
     return json.dumps(meta, indent=2, ensure_ascii=False, allow_nan=False).encode()
 
 
-def write_file(path: str, meta: dict, resources: Sequence[bytes], frames: Iterator[Frame]) -> int:
-    """Writes frames in their order, one in memory at a time; the header comes last. Returns how many there were."""
+def write_file(path: str, meta: dict, resources: Sequence[bytes], frames: Iterator[Frame], index: Callable[[list[tuple[int, int, int]]], bytes] = pack_index) -> int:
+    """Writes frames in their order, one in memory at a time; the header comes last. Returns how many there were. index: packs
+    the index from its rows."""
     body = encode_meta(meta)
     with open(local(path), "wb") as f:
         f.write(bytes(HEADER.size) + body + bytes(meta_capacity(len(body)) - len(body)))
@@ -190,7 +237,7 @@ def write_file(path: str, meta: dict, resources: Sequence[bytes], frames: Iterat
             rows.append((c.frame_index, c.flags & RAP, f.tell()))
             f.write(c.pack())
         at_index = f.tell()
-        f.write(pack_index(rows))
+        f.write(index(rows))
         f.seek(0)
         f.write(Header(HEADER.size, len(body), at_resources, at_caus, at_index).pack())
         f.flush()
@@ -218,4 +265,4 @@ def write(caus: DataFrame, path: str, meta: dict, resources: Sequence[bytes] = (
     return n
 
 
-__all__ = ["LvdSource", "open_file", "publish", "read", "resource", "scan_binary", "shared_dir", "write", "write_file"]
+__all__ = ["LvdSource", "check_frame", "check_index", "open_file", "publish", "read", "read_at", "resource", "scan_binary", "shared_dir", "write", "write_file"]

@@ -9,8 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below a folder of our own only where that isn't set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="laminaspark-")
+    """A new path below spark.checkpoint.dir; below a folder of our own only where that isn't set and Spark runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="laminaspark-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
