@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import copy
+import fcntl
 import os
 import struct
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -95,11 +96,114 @@ def pack(spark: SparkSession, path: str, meta: dict, images: DataFrame, stills:
     return lvd.write(caus, path, meta, stills, _publishable(spark, meta))
 
 
+class RangeError(ValueError):
+    """Frames outside the container."""
+
+
+class WriterError(RuntimeError):
+    """A writer that failed, or was closed, is used again."""
+
+
+def _bytes_of(x: np.ndarray) -> np.ndarray:
+    """Samples as bytes: truths as 0 and 255, floating ones from 0 to 1, whole numbers as they are."""
+    if x.dtype == bool:
+        return x.astype(np.uint8) * 255
+    if np.issubdtype(x.dtype, np.floating):
+        return np.clip(np.floor(np.nan_to_num(x) * 255 + 0.5), 0, 255).astype(np.uint8)
+    if x.size and not 0 <= x.min() <= x.max() <= 255:
+        raise ValueError("samples outside 0 to 255")
+    return x.astype(np.uint8)
+
+
+def images(spark: SparkSession, layer: int, source, start: int, end: int) -> DataFrame:
+    """Pictures of a layer from its frame `start` on, as a table: of a table of images as it is (its layer set), an array of
+    N x H x W x C bytes, a function of the frame number (called on the executors; None: no new picture), or any iterable of
+    pictures. Arrays and iterables pass from the driver a picture at a time."""
+    if isinstance(source, DataFrame):
+        return source.withColumn("layer_index", F.lit(layer)).select("layer_index", "frame", "width", "height", "channels", "data")
+    kinds = pa.schema([("layer_index", pa.int32()), ("frame", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())])
+
+    def row(frame: int, image: np.ndarray) -> dict:
+        x = _bytes_of(np.asarray(image))
+        x = x[..., None] if x.ndim == 2 else x
+        return {"layer_index": layer, "frame": frame, "width": x.shape[1], "height": x.shape[0], "channels": x.shape[2], "data": np.ascontiguousarray(x).tobytes()}
+
+    if callable(source):
+
+        def call(batches):
+            for batch in batches:
+                for frame in batch.column(0).to_pylist():
+                    if (image := source(frame)) is not None:
+                        yield pa.RecordBatch.from_pylist([row(frame, image)], schema=kinds)
+
+        return spark.range(start, end).mapInArrow(call, IMAGES)
+    given = [row(start + k, image) for k, image in zip(range(end - start), source, strict=False)]
+    return spark.createDataFrame(pa.Table.from_pylist(given, schema=kinds)) if given else spark.createDataFrame([], IMAGES)
+
+
+class Writer:
+    """A container from layers that are added one by one; it is written, audited and published when the `with` block ends well.
+    A block that fails, or a layer that is refused, leaves no file and a writer that can't be used again."""
+
+    def __init__(self, spark: SparkSession, path: str, size: tuple[int, int], fps: Fps, frames: int, *, gop: int | None = None, background: str = "#000000", codec: str = "zlib"):
+        self.spark, self.path, self.codec, self.closed = spark, path, codec, False
+        self.meta = document(size, fps, frames, [], gop=gop, background=background)
+        self.pictures: DataFrame | None = None
+        self.stills: list[bytes] = []
+        self.packets: DataFrame | None = None
+        self.written = 0
+
+    def __enter__(self) -> Writer:
+        return self
+
+    def __exit__(self, kind, value, trace) -> None:
+        if kind is None:
+            self.close()
+        self.closed = True
+
+    def _add(self, layer: dict) -> None:
+        if self.closed:
+            raise WriterError("this writer is closed")
+        if layer["id"] in {x["id"] for x in self.meta["layers"]} or not 0 <= layer["start_frame"] < layer["end_frame"] <= self.meta["frame_count"]:
+            self.closed = True
+            raise RangeError(f"layer {layer['id']!r}: its id is taken or its frames lie outside the file")
+        self.meta["layers"].append(layer)
+
+    def video(self, id: str, source, size: tuple[int, int], start: int = 0, end: int | None = None, **more) -> None:  # noqa: A002
+        """A video layer of a table, an array, a function or an iterable (see `images`); it repeats its last picture."""
+        end, k = self.meta["frame_count"] if end is None else end, len(self.meta["layers"])
+        self._add(video_layer(id, k, size, start, end, codec=self.codec, **more))
+        mine = images(self.spark, k, source, start, end)
+        self.pictures = mine if self.pictures is None else self.pictures.unionByName(mine)
+
+    def still(self, id: str, image: np.ndarray, at: tuple[int, int] = (0, 0), start: int = 0, end: int | None = None, **more) -> None:  # noqa: A002
+        png = codecs.png_encode(image)
+        self._add(still_layer(id, len(self.meta["layers"]), image, at, start, self.meta["frame_count"] if end is None else end, sum(map(len, self.stills)), png, **more))
+        self.stills.append(png)
+
+    def audio(self, packets: DataFrame) -> None:
+        """Packets (pts_us, duration_us, data)."""
+        if self.closed:
+            raise WriterError("this writer is closed")
+        self.packets = packets
+        self.meta["audio"] = document((1, 1), Fps(1), 1, [], audio=True)["audio"]
+
+    def close(self) -> int:
+        if self.closed:
+            raise WriterError("this writer is closed")
+        self.closed = True
+        if self.pictures is None:
+            raise WriterError("a container needs a video layer")
+        self.written = pack(self.spark, self.path, self.meta, self.pictures, self.stills, self.packets)
+        return self.written
+
+
 class Reader:
     """A container as tables."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.seen = self._state()
         self.file = lvd.open_file(path)
         self.meta = self.file.meta
         self.fps = Fps(self.meta["fps"]["num"], self.meta["fps"]["den"])
@@ -108,6 +212,22 @@ class Reader:
             raise ValueError("index and frame count differ")
         self.raps = [f for f, flags, _ in self.file.index if flags & 1]
 
+    def _state(self) -> tuple[int, int]:
+        found = os.stat(local(self.path))
+        return found.st_size, found.st_mtime_ns
+
+    def changed(self) -> bool:
+        """Whether the file isn't the one that was opened any more."""
+        return self._state() != self.seen
+
+    def reload(self, overrides: Mapping[str, Mapping] | None = None) -> Reader:
+        """The file as it is now. overrides: fields by layer id that a viewer has set; those of layers that are still there go
+        over what the file says."""
+        r = Reader(self.spark, self.path)
+        for x in r.layers:
+            x |= (overrides or {}).get(x["id"], {})
+        return r
+
     @property
     def layers(self) -> list[dict]:
         return self.meta["layers"]
@@ -134,7 +254,7 @@ class Reader:
     def _check(self, start: int, end: int | None) -> tuple[int, int]:
         end = self.frame_count if end is None else end
         if not 0 <= start < end <= self.frame_count:
-            raise ValueError(f"frames [{start}, {end}) are outside [0, {self.frame_count})")
+            raise RangeError(f"frames [{start}, {end}) are outside [0, {self.frame_count})")
         return start, end
 
     def caus(self, start: int = 0, end: int | None = None, layers: Sequence[int] | None = None, preroll: bool = False) -> DataFrame:
@@ -273,17 +393,18 @@ def set_layer(path: str, key: str | int, **fields) -> None:
     allowed = {"name", "z", "rect", "blend", "opacity", "visible", "id"}
     if set(fields) - allowed or fields.get("blend", "normal") not in BLENDS or not 0 <= fields.get("opacity", 1) <= 1:
         raise ValueError(f"can't set {fields}")
-    file = lvd.open_file(path)
-    meta = file.meta
-    k = resolve_layer([str(key)], [(i, x["id"]) for i, x in enumerate(meta["layers"])])[0]
-    meta["layers"][k] |= fields
-    body, h = lvd.encode_meta(meta), file.header
-    lo, end = 64, h.resources_offset
-    right = (end - len(body)) // 8 * 8
-    at = lo if h.meta_offset - lo >= len(body) else right if right >= max(h.meta_offset + h.meta_length, lo) else None
-    if at is None:
-        raise ValueError("no room for the new metadata; rewrite the file")
     with open(local(path), "r+b") as f:
+        fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)  # one edit at a time; a second one fails at once, the lock ends with the file
+        file = lvd.open_file(path)
+        meta = file.meta
+        k = resolve_layer([str(key)], [(i, x["id"]) for i, x in enumerate(meta["layers"])])[0]
+        meta["layers"][k] |= fields
+        body, h = lvd.encode_meta(meta), file.header
+        lo, end = 64, h.resources_offset
+        right = (end - len(body)) // 8 * 8
+        at = lo if h.meta_offset - lo >= len(body) else right if right >= max(h.meta_offset + h.meta_length, lo) else None
+        if at is None:
+            raise ValueError("no room for the new metadata; rewrite the file")
         f.seek(at)
         f.write(body)
         f.flush()
@@ -315,8 +436,9 @@ def render_png(frames: DataFrame, folder: str, pattern: str = "%05d.png") -> Non
     frames.foreachPartition(put)
 
 
-def render_npy(frames: DataFrame, path: str) -> int:
-    """One array of N x H x W x C bytes in frame order; the header is written again when the count is known."""
+def render_npy(frames: DataFrame, path: str, progress: Callable[[int], None] | None = None) -> int:
+    """One array of N x H x W x C bytes in frame order; the header is written again when the count is known. progress is called
+    with the number of frames so far; an exception from it ends the work and takes the file away."""
     n, shape = 0, None
 
     def header() -> bytes:
@@ -330,6 +452,12 @@ def render_npy(frames: DataFrame, path: str) -> int:
                 f.write(header())
             f.write(r["data"])
             n += 1
+            if progress:
+                try:
+                    progress(n)
+                except BaseException:
+                    os.unlink(local(path))
+                    raise
         if shape is None:
             raise ValueError("no frames")
         f.seek(0)

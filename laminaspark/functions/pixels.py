@@ -123,6 +123,32 @@ def color_i420(rgba: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return y.astype(np.uint8), planes[0].astype(np.uint8), planes[1].astype(np.uint8)
 
 
+def _even(plane: np.ndarray) -> np.ndarray:
+    return np.pad(plane, ((0, plane.shape[0] & 1), (0, plane.shape[1] & 1)), mode="edge")
+
+
+def color_gbr(rgba: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """G, B and R planes as they are; odd sides repeat their last row or column."""
+    return tuple(_even(rgba[..., k]) for k in (1, 2, 0))
+
+
+def alpha_i420(rgba: np.ndarray, limited: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Alpha as the luma of a gray picture, from 16 to 235 if limited, halves up."""
+    y = _even(rgba[..., 3]).astype(np.int64)
+    y = ((16 * 255 + y * 219) * 2 + 255) // 510 if limited else y
+    gray = np.full((y.shape[0] // 2, y.shape[1] // 2), 128, np.uint8)
+    return y.astype(np.uint8), gray, gray.copy()
+
+
+def float_i420(rgba: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Y, Cb and Cr by BT.709 in floating point, limited range; chroma from the mean of two by two samples."""
+    rgb = np.stack([_even(rgba[..., k]) for k in range(3)], axis=2).astype(np.float64)
+    y = rgb @ np.array([KR, 1 - KR - KB, KB])
+    mean = lambda v: (v[0::2, 0::2] + v[0::2, 1::2] + v[1::2, 0::2] + v[1::2, 1::2]) / 4
+    chroma = [128 + mean(rgb[..., k] - y) / (2 * (1 - own)) * 224 / 255 for k, own in ((2, KB), (0, KR))]
+    return tuple(np.clip(np.floor(p + 0.5), 0, 255).astype(np.uint8) for p in (16 + y * 219 / 255, *chroma))
+
+
 def i420_to_rgb(y: np.ndarray, u: np.ndarray, v: np.ndarray, width: int, height: int, space: int = 2, full: bool = False) -> np.ndarray:
     """H x W x 3, nearest chroma, cropped to the content size."""
     kr, kb = SPACES.get(space, (KR, KB))

@@ -63,7 +63,14 @@ def _made(spark, name, frames, change=None):
     return path
 
 
-@query()
+#: Packets of the synthetic file: key and other pictures of layer 0, colour and alpha of layer 2, which begins at frame 15.
+Q59_SQL = """SELECT f AS frame_index, (f % 10 = 0)::INT AS flags, l::INT AS layer_index, active::INT AS kind, (active AND key)::INT AS frame_flags,
+  CASE WHEN NOT active THEN '' WHEN l = 0 AND key THEN '824983424003f001f0' WHEN l = 0 THEN '8600' WHEN key THEN 'a2498342e0015000d0' ELSE 'a600' END AS color,
+  CASE WHEN NOT active OR l = 0 THEN '' WHEN key THEN '8249834250015000d0' ELSE '8600' END AS alpha
+FROM (SELECT f, l, l = 0 OR f >= 15 AS active, f % 10 = 0 OR (l = 2 AND f = 15) AS key FROM generate_series(12, 30) t(f), (VALUES (0), (2)) u(l))"""
+
+
+@query(Q59_SQL)
 def q59_lvd_roundtrip(spark, sf):
     """A container read by frame range and layer, written anew from its table, audited, published and read again."""
     first = _made(spark, "first", testsrc.frames())
@@ -74,7 +81,18 @@ def q59_lvd_roundtrip(spark, sf):
     return each.select("frame_index", "flags", "e.layer_index", "e.kind", "e.frame_flags", F.lower(F.hex("e.color")).alias("color"), F.lower(F.hex("e.alpha")).alias("alpha"))
 
 
-@query()
+#: What each broken file must give, and nothing else; the valid one gives nothing. A dropped or misnumbered access point also
+#: widens the distance of its neighbours (I8), misses in the index (I10) and the count (no frame), and takes audio along (I9).
+Q60_SQL = """SELECT mutation, code, frame::BIGINT AS frame, 'error' AS severity FROM (VALUES
+  ('missing_entry', 'I2', 30), ('entry_order', 'I2', 31), ('active_entry_empty', 'I3', 32), ('layer_start_not_key', 'I4', 15), ('hold_entry', 'CAU', 33),
+  ('alpha_key_mismatch', 'I5', 10), ('alpha_key_mismatch', 'I6', 10), ('alpha_key_mismatch', 'VP9', 10), ('audio_wrong_frame', 'I9', 11),
+  ('rap_flag_cleared', 'I6', 10), ('rap_flag_cleared', 'I8', 0), ('frame0_not_rap', 'I6', 0), ('frame0_not_rap', 'I7', 0),
+  ('frame_index_gap', 'I1', 20), ('frame_index_gap', 'I1', 21), ('frame_index_gap', 'I8', 10), ('frame_index_gap', 'I9', 21), ('frame_index_gap', 'I10', 20),
+  ('dropped_cau', 'I1', 20), ('dropped_cau', 'I1', NULL), ('dropped_cau', 'I8', 10), ('dropped_cau', 'I10', 20), ('dropped_cau', 'I10', NULL),
+  ('index_wrong_offset', 'I10', 25), ('index_wrong_rap', 'I10', 10)) v(mutation, code, frame)"""
+
+
+@query(Q60_SQL)
 def q60_lvd_mutations(spark, sf):
     """The valid file and 13 broken ones with the codes and the frames that validation gives."""
     out = None

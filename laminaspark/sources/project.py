@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from fractions import Fraction
 
@@ -54,53 +56,120 @@ def frame_near(seconds: str, fps: Fps) -> int:
     """The frame nearest to a decimal number of seconds, halves up."""
     exact = parse_decimal(seconds)
     if exact is None:
-        raise ProjectError(f"bad time {seconds!r}")
+        raise ProjectError(f"{seconds!r} is no number of seconds")
     return (exact * Fraction(fps.num, fps.den) + Fraction(1, 2)).__floor__()
 
 
-def load(path: str, output: str | None = None) -> Project:
-    """Reads and checks a project. Times are seconds, or frames under `<name>_frame`, which win; an end past the file's is
-    cut; paths are relative to the project."""
+#: What a project file may say. Every value is read as its text, so that decimals stay exact and the table below decides.
+SCHEMA = """canvas struct<width: string, height: string, background: string>, fps string, duration string, gop string, output string,
+  audio struct<src: string>, layers array<struct<id: string, kind: string, src: string, z: string, rect: string, start: string, end: string,
+  start_frame: string, end_frame: string, alpha: string, blend: string, opacity: string, visible: string>>"""
+
+
+def _rect(text: str) -> list[int]:
+    """Four whole numbers: a list, an object with x, y, w and h, or a text that parts them by commas, colons, x or spaces."""
+    found = json.loads(text) if text[:1] in "[{" else re.split(r"[,:x\s]+", text.strip())
+    found = [found[c] for c in "xywh"] if isinstance(found, dict) else found
+    if len(found) != 4:
+        raise ValueError(text)
+    return [int(v) for v in found]
+
+
+def _truth(text: str) -> bool:
+    return {"true": True, "false": False}[text.lower()]
+
+
+def _any(_) -> bool:
+    return True
+
+
+#: Field: (how its text is read, what the value must meet, the same in words, value if it isn't there; ... if it must be).
+TOP = {
+    "width": (int, lambda v: v > 0, "a whole number above 0", ...),
+    "height": (int, lambda v: v > 0, "a whole number above 0", ...),
+    "background": (str, re.compile("#[0-9A-Fa-f]{6}").fullmatch, "a colour like #102030", "#000000"),
+    "fps": (Fps.of, _any, "a frame rate like 30 or 30000/1001", Fps(30, 1)),
+    "duration": (str, _any, "seconds", ...),
+    "gop": (int, lambda v: v > 0, "a whole number of frames above 0", None),
+}
+LAYER = {
+    "id": (str, lambda v: re.fullmatch("[A-Za-z0-9_][A-Za-z0-9_.-]*", v) and not v.isdigit(), "letters, digits, _ . - and not digits alone", ...),
+    "kind": (str, {"video", "still"}.__contains__, "video or still", "video"),
+    "src": (str, bool, "a path", ...),
+    "z": (float, math.isfinite, "a finite number", None),
+    "rect": (_rect, lambda v: min(v[2:]) > 0, "x, y, w, h with a width and a height", None),
+    "start_frame": (int, lambda v: v >= 0, "a frame", None),
+    "end_frame": (int, lambda v: v > 0, "a frame", None),
+    "start": (str, _any, "seconds", None),
+    "end": (str, _any, "seconds", None),
+    "alpha": (_truth, _any, "true or false", False),
+    "blend": (str, BLENDS.__contains__, f"one of {', '.join(BLENDS)}", "normal"),
+    "opacity": (float, lambda v: 0 <= v <= 1, "a number from 0 to 1", 1.0),
+    "visible": (_truth, _any, "true or false", True),
+}
+
+
+def _read_fields(given: dict, fields: dict[str, tuple], where: str, faults: list[str]) -> dict:
+    """Values of all fields; a field that can't be read or doesn't fit adds a fault and takes its default."""
+    out = {}
+    for name, (parse, fits, wants, default) in fields.items():
+        text, out[name] = given.get(name), None if default is ... else default
+        try:
+            if text is None and default is ...:
+                raise ValueError
+            if text is not None:
+                value = parse(text)
+                if not fits(value):
+                    raise ValueError
+                out[name] = value
+        except (ValueError, KeyError, TypeError):
+            faults.append(f"{where}{name}: {'missing' if text is None else repr(text)}, should be {wants}")
+    return out
+
+
+def load(path: str, output: str | None = None, spark: SparkSession | None = None) -> Project:
+    """Reads a project and tells all its faults at once. Times are seconds, or frames under `<name>_frame`, which win; an end
+    past the file's is cut; paths are relative to the project."""
+    spark = spark or SparkSession.active()
     at = local(path)
-    base = os.path.dirname(os.path.abspath(at))
-    with open(at, "rb") as f:
-        p = json.loads(f.read(), parse_float=str)  # decimals stay exact
-
-    def need(ok, text: str) -> None:
-        if not ok:
-            raise ProjectError(text)
-
-    def source(x) -> str:
-        need(isinstance(x, str) and x, f"src must be a path, got {x!r}")
-        found = os.path.join(base, x)
-        need(os.path.exists(found), f"source not found: {found}")
+    base, faults = os.path.dirname(os.path.abspath(at)), []
+    row = spark.read.schema(SCHEMA).option("multiLine", True).json(f"file://{os.path.abspath(at)}").first()
+    given = row.asDict(recursive=True) if row else {}
+    top = _read_fields({**given, **(given.get("canvas") or {})}, TOP, "", faults)
+    if faults:
+        raise ProjectError("; ".join(faults))
+    fps = top["fps"]
+    frames = frame_near(top["duration"], fps)
+    if frames < 1:
+        faults.append(f"duration: {top['duration']!r} is shorter than a frame")
+
+    def source(name: str | None, where: str) -> str:
+        found = os.path.join(base, name or "")
+        if name and not os.path.exists(found):
+            faults.append(f"{where}: nothing at {found}")
         return found
 
-    canvas = p.get("canvas") or {}
-    size = (canvas.get("width"), canvas.get("height"))
-    need(all(isinstance(v, int) and v > 0 for v in size), "canvas needs a positive width and height")
-    background = canvas.get("background", "#000000")
-    need(re.fullmatch("#[0-9A-Fa-f]{6}", background), "background isn't #RRGGBB")
-    fps = Fps.of(p.get("fps", "30"))
-    need("duration" in p, "project needs a duration")
-    frames = frame_near(str(p["duration"]), fps)
-    need(frames > 0, "duration gives no frames")
-    gop = p.get("gop", max(1, round(2 * fps.num / fps.den)))
-    need(isinstance(gop, int) and gop > 0, "gop must be positive")
-    out = Project(os.path.join(base, output or p.get("output") or f"{os.path.splitext(os.path.basename(at))[0]}.lvd"), size, background, fps, frames, gop)
-    for k, x in enumerate(p.get("layers") or []):
-        when = lambda name, default, x=x: int(x[f"{name}_frame"]) if f"{name}_frame" in x else (default if x.get(name) is None else frame_near(str(x[name]), fps))
-        id_, kind, blend, opacity = str(x.get("id", "")), x.get("kind", "video"), x.get("blend", "normal"), float(x.get("opacity", 1))
-        need(re.fullmatch("[A-Za-z0-9_][A-Za-z0-9_.-]*", id_) and not id_.isdigit() and id_ not in {y.id for y in out.layers}, f"layer {k}: bad or repeated id {id_!r}")
-        need(kind in ("video", "still") and blend in BLENDS and 0 <= opacity <= 1, f"layer {k}: kind, blend or opacity")
-        start, end = when("start", 0), min(when("end", frames), frames)
-        need(0 <= start < end, f"layer {k}: empty interval [{start}, {end})")
-        rect = x.get("rect")
-        rect = [rect[c] for c in "xywh"] if isinstance(rect, dict) else rect if rect is None else [int(v) for v in (re.split(r"[,:x\s]+", rect.strip()) if isinstance(rect, str) else rect)]
-        out.layers.append(Layer(id_, kind, source(x.get("src")), float(x.get("z", k)), rect, start, end, bool(x.get("alpha", False)), blend, opacity, bool(x.get("visible", True))))
-    need(out.layers, "project has no layers")
-    out.audio = source(p["audio"].get("src")) if p.get("audio") else None
-    return out
+    layers = []
+    for k, record in enumerate(given.get("layers") or []):
+        where = f"layer {k} {record.get('id')!r}, "
+        x = _read_fields(record, LAYER, where, faults)
+        try:
+            start, end = ((frame_near(x[n], fps) if x[n] is not None else d) if x[f"{n}_frame"] is None else x[f"{n}_frame"] for n, d in (("start", 0), ("end", frames)))
+        except ProjectError as e:
+            faults.append(f"{where}{e}")
+            continue
+        end = min(end, frames)
+        if not 0 <= start < end:
+            faults.append(f"{where}no frame from {start} to {end}")
+        layers.append(Layer(x["id"], x["kind"], source(x["src"], f"{where}src"), float(k) if x["z"] is None else x["z"], x["rect"], start, end, x["alpha"], x["blend"], x["opacity"], x["visible"]))
+    repeated = sorted(i for i, n in Counter(x.id for x in layers if x.id).items() if n > 1)
+    if repeated or not layers:
+        faults.append(f"layers: {', '.join(repeated) + ' more than once' if repeated else 'none'}")
+    audio = source((given.get("audio") or {}).get("src"), "audio.src") if given.get("audio") else None
+    if faults:
+        raise ProjectError("; ".join(faults))
+    name = output or given.get("output") or f"{os.path.splitext(os.path.basename(at))[0]}.lvd"
+    return Project(os.path.join(base, name), (top["width"], top["height"]), top["background"], fps, frames, top["gop"] or max(1, round(2 * fps.num / fps.den)), layers, audio)
 
 
 def _images(spark: SparkSession, index: int, layer: Layer) -> tuple[DataFrame, tuple[int, int], int]:

@@ -84,3 +84,50 @@ def test_missing_image(spark, tmp_path):
     meta = api.document((4, 4), Fps(30), 3, [api.video_layer("a", 0, (4, 4), 0, 3)])
     with pytest.raises(Exception, match="no image"):
         api.pack(spark, str(tmp_path / "b.lvd"), meta, table(spark, [(0, 1, image(1, 4, 4))]))
+
+
+def test_writer(spark, tmp_path):
+    """Layers from an array, a function, an iterable; a failed block leaves nothing and closes the writer."""
+    out = str(tmp_path / "w.lvd")
+    with api.Writer(spark, out, (16, 8), Fps(30), 6, gop=3) as w:
+        w.video("bg", np.stack([image(10 * f, 16, 8) for f in range(6)]), (16, 8), has_alpha=False)
+        w.video("fn", lambda f: image(f, 2, 2, 4) if f % 2 else None, (2, 2), 1)
+        w.video("it", (image(200 + k, 1, 1) for k in range(2)), (1, 1), 4, rect=(15, 7, 1, 1), has_alpha=False)
+        w.still("s", image(9, 1, 1), (0, 7))
+    assert w.written == 6 and validate(spark, out, ["zlib"]).count() == 0
+    r = api.Reader(spark, out)
+    assert r.frame(5)[7, 15].tolist() == [201] * 3 and r.frame(5)[7, 0].tolist() == [9] * 3 and r.frame(3)[4, 4].tolist() == [30] * 3
+    assert sorted(x.frame for x in r.layer_frames("fn").collect()) == [1, 2, 3, 4, 5]
+    with pytest.raises(api.WriterError):
+        w.still("t", image(1, 1, 1))
+    bad = api.Writer(spark, str(tmp_path / "x.lvd"), (4, 4), Fps(30), 3)
+    with pytest.raises(api.RangeError):
+        bad.video("a", image(1, 4, 4)[None], (4, 4), 2, 9)
+    with pytest.raises(api.WriterError):
+        bad.close()
+    with pytest.raises(ZeroDivisionError), api.Writer(spark, str(tmp_path / "x.lvd"), (4, 4), Fps(30), 3) as bad:
+        1 / 0  # noqa: B018
+    assert not (tmp_path / "x.lvd").exists()
+
+
+def test_reload_progress_and_lock(spark, path, tmp_path):
+    r = api.Reader(spark, path)
+    assert not r.changed()
+    api.set_layer(path, "bg", name="other")
+    assert r.changed() and r.reload({"bg": {"opacity": 0.5}, "gone": {"z": 1}}).layer("bg") | {"opacity": 0.5, "name": "other"} == r.reload({"bg": {"opacity": 0.5}}).layer("bg")
+    seen = []
+
+    def stop(n):
+        seen.append(n)
+        if n == 2:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        api.render_npy(r.frames(0, 5), str(tmp_path / "p.npy"), stop)
+    assert seen == [1, 2] and not (tmp_path / "p.npy").exists()
+    import fcntl
+
+    with open(path, "r+b") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        with pytest.raises(BlockingIOError):
+            api.set_layer(path, "bg", name="late")

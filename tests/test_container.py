@@ -70,3 +70,28 @@ def test_roundtrip_and_publish(spark, path, tmp_path):
     with pytest.raises(FormatError):
         lvd.write(broken, out, testsrc.meta(), testsrc.resources(), faults(spark))
     assert open(out, "rb").read() == open(path, "rb").read() and not (tmp_path / "copy.lvd.tmp").exists()
+
+
+def test_scan_from_the_access_point(spark, path):
+    some = lvd.read(spark, path, **{"from": 13, "to": 15})
+    assert [r[0] for r in some.select("frame_index").orderBy("frame_index").collect()] == [10, 11, 12, 13, 14]
+    file = lvd.open_file(path)
+    assert lvd.read_at(path, file.index[7][2], [1]).frame_index == 7 and [e.layer_index for e in lvd.read_at(path, file.index[7][2], [1]).entries] == [1]
+    with pytest.raises(FormatError):
+        lvd.read_at(path, 5)
+
+
+def test_strict_reads(spark):
+    """An index that doesn't rise, starts without an access point or names another place, and frames against the metadata."""
+    falling = _made(spark, "falling", testsrc.frames(), lambda rows: [*rows[:5], rows[4], *rows[6:]])
+    no_start = _made(spark, "no_start", testsrc.frames(), lambda rows: [(0, 0, rows[0][2]), *rows[1:]])
+    elsewhere = _made(spark, "elsewhere", testsrc.frames(), lambda rows: [(f, 0 if f == 10 else g, o) for f, g, o in rows])
+    for bad in (falling, no_start, elsewhere):
+        with pytest.raises(Exception, match="index|access point"):
+            lvd.read(spark, bad).count()
+    for name in ("missing_entry", "entry_order", "active_entry_empty", "hold_entry"):
+        broken = _made(spark, name, testsrc.MUTATIONS[name][0]()[0])
+        assert lvd.read(spark, broken).count() == 40
+        with pytest.raises(Exception, match="entries|differ"):
+            lvd.read(spark, broken, strict="true").count()
+    assert lvd.read(spark, _made(spark, "fine", testsrc.frames()), strict="true").count() == 40

@@ -132,3 +132,14 @@ def test_png():
         image = np.random.default_rng(1).integers(0, 256, (9, 5, c), dtype=np.uint8)
         assert (png_decode(png_encode(image)) == image).all()
     assert decode("zlib", encode("zlib", b"abc" * 99)) == b"abc" * 99
+
+
+def test_planes():
+    rng = np.random.default_rng(0)
+    rgba = rng.integers(0, 256, (5, 7, 4)).astype(np.uint8)
+    g, b, r = pixels.color_gbr(rgba)
+    assert g.shape == (6, 8) and (g[:5, :7] == rgba[..., 1]).all() and (b[5, :7] == rgba[4, :, 2]).all() and (r[:5, 7] == rgba[:, 6, 0]).all()
+    y, u, v = pixels.alpha_i420(np.array([[[0, 0, 0, 0], [0, 0, 0, 255]]], np.uint8))
+    assert y[0].tolist() == [16, 235] and u.tolist() == v.tolist() == [[128]]
+    exact, near = pixels.color_i420(rgba[:4, :6] | np.array([0, 0, 0, 255], np.uint8)), pixels.float_i420(rgba[:4, :6])
+    assert all(np.abs(p.astype(int) - q.astype(int)).max() <= 1 for p, q in zip(exact, near, strict=True))

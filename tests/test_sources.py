@@ -63,6 +63,30 @@ def test_project(spark, described):
             project.load(str(folder / "q.json"))
 
 
+def test_project_tells_all_faults(spark, described):
+    folder, doc = described
+    wrong = doc | {"layers": [{"id": "7", "src": "bg", "opacity": 3}, {"id": "a", "src": "gone", "rect": "1,2"}, {"id": "a", "src": "bg", "blend": "dodge", "start": "soon"}]}
+    (folder / "q.json").write_text(json.dumps(wrong))
+    with pytest.raises(project.ProjectError) as e:
+        project.load(str(folder / "q.json"))
+    assert all(x in str(e.value) for x in ("'7'", "opacity", "gone", "rect", "blend", "soon"))
+
+
+def test_more_commands(spark, described, capsys):
+    folder, _ = described
+    at = str(folder / "p.lvd")
+    assert main(["pack", str(folder / "p.json")], spark) == 0
+    assert main(["add", at, "logo", str(folder / "s.png"), "--rect", "1,1,2,2"], spark) == 0 and main(["add", at, "again", str(folder / "bg"), "--start", "2"], spark) == 0
+    assert [x["id"] for x in api.Reader(spark, at).layers] == ["bg", "m", "s", "logo", "again"] and main(["check", at], spark) == 0
+    assert main(["extract", at, "m", str(folder / "m_out.npy"), "--range", "0.1s:"], spark) == 0 and np.load(folder / "m_out.npy").shape == (3, 4, 4, 4)
+    assert main(["render", at, str(folder / "o.npy"), "--range", "0.1s:5"], spark) == 0 and np.load(folder / "o.npy").shape[0] == 2
+    assert main(["render", at, str(folder / "o.npy"), "--range", "5:99"], spark) == 2
+    capsys.readouterr()
+    assert main(["info", at, "--frames"], spark) == 0 and "frame 2 at " in capsys.readouterr().out
+    assert main(["testsrc", str(folder / "t.lvd")], spark) == 0 and main(["check", str(folder / "t.lvd")], spark) == 0
+    assert main(["corrupt", str(folder / "t.lvd"), "frame_index_gap"], spark) == 0 and main(["check", str(folder / "t.lvd")], spark) == 1
+
+
 def test_commands(spark, described, capsys):
     folder, _ = described
     at = str(folder / "p.lvd")
