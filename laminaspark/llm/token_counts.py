@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import math
 from array import array
-from collections import Counter
 
 import public_tokenizers
 import pyarrow as pa
@@ -15,8 +14,9 @@ from pyspark.sql import functions as F
 
 from laminaspark.llm.common import over_batches, read, slices
 
-#: Trie nodes and words that a task holds at most; then it starts a new trie. Characters of a word that share the trie.
-NODES, HELD, SHARED = 400_000, 250_000, 256
+#: Trie nodes and words that a task holds at most; then it starts a new trie. Bytes of a word that share the trie (more than
+#: the longest piece has).
+NODES, HELD, SHARED = 1_500_000, 750_000, 256
 
 
 def zipf_pieces(name: str = "byte_bpe_50k.tiktoken") -> dict[bytes, float]:
@@ -26,19 +26,36 @@ def zipf_pieces(name: str = "byte_bpe_50k.tiktoken") -> dict[bytes, float]:
         return {base64.b64decode(a): -math.log(int(b) + 1) for a, b in map(bytes.split, f)}
 
 
+class _Counts(dict):
+    """Token count by pre-token. One that isn't there goes through the trie when it is asked for; when the bounds are reached,
+    trie and counts begin anew, inside a document too."""
+
+    def __init__(self, trie: ScoreTrie):
+        self.trie = trie
+
+    def __missing__(self, word: str) -> int:
+        trie, raw = self.trie, word.encode()
+        if len(self) >= HELD or len(trie.score) + min(len(raw), SHARED) > NODES:
+            trie.clear()
+        n = trie.best_of(raw)[1]
+        if len(raw) <= SHARED:
+            self[word] = n
+        return n
+
+
 class ScoreTrie:
     """A trie of distinct pre-tokens. A node's forward score is the best log-score of any segmentation of the prefix that
     it stands for; it depends on the prefix alone and is computed once, when the node is made, from its ancestors. The node
     where a word ends holds its token count: of the best segmentation, and of equal ones the one of fewest tokens."""
 
     def __init__(self, pieces: dict[bytes, float]):
-        self.pieces, self.longest = pieces, max(map(len, pieces))
+        self.pieces, self.longest, self.words = pieces, max(map(len, pieces)), _Counts(self)
         self.clear()
 
     def clear(self) -> None:
         self.edges: dict[int, int] = {}
         self.score, self.count = array("d", [0.0]), array("l", [0])
-        self.words: dict[str, int] = {}
+        self.words.clear()
 
     def insert(self, word: bytes) -> int:
         """The node where the word ends."""
@@ -68,7 +85,7 @@ class ScoreTrie:
     def best_of(self, word: bytes) -> tuple[float, int]:
         """Forward score and token count of a pre-token. Beyond SHARED bytes a word has the trie for its first part only; from
         there on scores go on in a window as long as the longest piece, so that no word's length bounds memory."""
-        path = self.path(word[: max(SHARED, self.longest)])
+        path = self.path(word[:SHARED])
         if len(path) > len(word):
             return self.score[path[-1]], self.count[path[-1]]
         pieces, longest = self.pieces, self.longest
@@ -85,30 +102,8 @@ class ScoreTrie:
         return ends[-1]
 
     def tokens(self, words: list[str]) -> int:
-        """Tokens of a list of pre-tokens: inserts those that are new, then sums terminal counts. Where a document has too
-        many for the trie, its words are counted first and summed word by word while the trie begins anew."""
-        known, count = self.words, self.count
-        for w in set(words).difference(known):
-            if len(self.score) + min(SHARED, len(w)) * 4 > NODES or len(known) >= HELD or len(w) > SHARED:
-                return self._by_turns(words)
-            known[w] = self.insert(w.encode())
-        return sum([count[known[w]] for w in words])
-
-    def _by_turns(self, words: list[str]) -> int:
-        total = 0
-        for w, times in Counter(words).items():
-            if (node := self.words.get(w)) is not None:
-                total += times * self.count[node]
-                continue
-            if len(self.score) + SHARED * 4 > NODES or len(self.words) >= HELD:
-                self.clear()
-            raw = w.encode()
-            if len(w) <= SHARED:
-                node = self.words[w] = self.insert(raw)
-                total += times * self.count[node]
-            else:
-                total += times * self.best_of(raw)[1]
-        return total
+        """Tokens of a list of pre-tokens: the sum of their terminal counts."""
+        return sum(map(self.words.__getitem__, words))
 
     def best(self, words: list[str]) -> float:
         return sum(self.best_of(w.encode())[0] for w in words)
