@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -39,15 +40,29 @@ def work_dir(spark: SparkSession) -> str:
 _staged: dict[str, list[str]] = {}
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _forget(app: str) -> None:
-    """Deletes what this application staged, if its session still lives when Python ends."""
+    """Deletes what this application staged when Python ends: through its session, or by path where the session is gone and
+    the shared folder is mounted."""
     spark = SparkSession.getActiveSession()
-    if spark is None or spark.sparkContext._jsc is None or spark.sparkContext.applicationId != app:
-        return
-    jvm = spark.sparkContext._jvm
+    lives = spark is not None and spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == app
     for at in _staged.pop(app, []):
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if lives:
+            _delete(spark, at)
+        elif at.startswith(("file:", "/")):
+            shutil.rmtree("/" + at.removeprefix("file:").lstrip("/"), ignore_errors=True)
+
+
+def unstaged(df: DataFrame) -> None:
+    """Deletes what `staged` wrote for df, which nothing reads any more."""
+    spark = df.sparkSession
+    if (at := getattr(df, "_staged_at", None)) in (names := _staged.get(spark.sparkContext.applicationId, [])):
+        names.remove(at)
+        _delete(spark, at)
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -61,7 +76,9 @@ def staged(df: DataFrame) -> DataFrame:
         _staged[app] = []
         atexit.register(_forget, app)
     _staged[app].append(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    object.__setattr__(out, "_staged_at", at)
+    return out
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -217,7 +234,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = join_hot(both.where("v > u"), least, "u", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = join_hot(large, low, "u", state[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        now = staged(small)
+        last, now = now, staged(small)
+        unstaged(last)
         before, state = state, _state(now)
         if before == state:
             break

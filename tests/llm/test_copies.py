@@ -312,3 +312,13 @@ def test_exact_dedup_over_more_partitions(odd, monkeypatch):
     monkeypatch.setattr(dedup, "MERGED", 1)
     got = dedup.exact_dedup(odd).collect()
     check_groups([(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()], got)
+
+
+def test_rounds_leave_one_staged_table(spark):
+    """A chain needs several rounds; what they staged is deleted but for the last."""
+    from laminaspark.llm import common
+
+    app = spark.sparkContext.applicationId
+    before = len(common._staged.get(app, []))
+    got = components(spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert {r.component for r in got.collect()} == {0} and len(common._staged[app]) == before + 1
