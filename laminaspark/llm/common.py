@@ -9,8 +9,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
@@ -103,34 +101,26 @@ def untagged(rows: DataFrame) -> DataFrame:
 BITS = 1 << 24
 
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """Of the one column of longs: a map of fixed size (2 MB) in which the lowest bits of each number are set."""
-    low = F.col(keys.columns[0]).bitwiseAND(F.lit(BITS - 1))
-    found = keys.select(F.shiftright(low, 15).alias("k"), low.bitwiseAND(F.lit(32767)).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
-    out = np.zeros((BITS >> 15, 4096), dtype=np.uint8)
-    for r in found:
-        out[r.k] = np.frombuffer(r.bits, dtype=np.uint8)
-    return out.reshape(-1)
-
-
-def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return (bits[(keys & (BITS - 1)) >> 3] >> (keys & 7).astype(np.uint8) & 1).astype(bool)
+def marked(rows: DataFrame, column: str, keys: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows whose long in `column` may be among the keys (one column of longs), or those whose isn't for certain. The lowest bits
+    of all keys make a map of BITS bits: 512 rows of 4 KB at most, whatever the number of keys, which every task gets."""
+    low = lambda c: F.col(c).bitwiseAND(F.lit(BITS - 1))
+    name = keys.columns[0]
+    chunks = keys.select(F.shiftright(low(name), 15).alias("_chunk"), low(name).bitwiseAND(F.lit(32767)).alias("_place")).groupBy("_chunk").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    place = low("_at").bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    hit = F.coalesce(F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    met = rows.withColumn("_at", F.col(column)).withColumn("_chunk", F.shiftright(low("_at"), 15)).join(F.broadcast(chunks), "_chunk", "left")
+    return met.where(hit if inside else ~hit).select(*(F.col(f"`{c}`") for c in rows.columns))
 
 
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows of `identified` documents, as documents again, but those whose _row is in `dropped` (one column of longs).
-    Only rows that the bitmap of the dropped ones may mean go through the join; the others stay where they are, so that texts
+    Only rows that the map of the dropped ones may mean go through the join; the others stay where they are, so that texts
     move about as far as rows are dropped. Beyond some ten million dropped rows the map is full and all rows pass the join."""
     gone = staged(dropped.toDF("_gone"))
-    bits = bitmap(gone)
-
-    @F.pandas_udf("boolean")
-    def may(row: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(bits, row.to_numpy()))
-
-    stay = rows.where(~may("_row"))
-    asked = rows.where(may("_row")).join(gone, F.col("_row") == F.col("_gone"), "left_anti")
-    return untagged(stay.unionByName(asked))
+    asked = marked(rows, "_row", gone).join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+    return untagged(marked(rows, "_row", gone, inside=False).unionByName(asked))
 
 
 _kept: dict[str, Callable] = {}

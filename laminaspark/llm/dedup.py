@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminaspark.llm.common import ascii_lower, bitmap, identified, in_bitmap, read, staged, without
+from laminaspark.llm.common import ascii_lower, identified, marked, read, staged, without
 
 SLOTS, KICKS = 4, 200
 #: Live digests that a task holds before it hands on what it has (map side only; a later index merges it).
@@ -207,13 +206,7 @@ def decide(docs: DataFrame, normalise=ascii_lower, digest=None) -> DataFrame:
     rows = rows if digest else rows.withColumn("sha", F.col("digest"))
     found = staged(groups(rows))
     hits = staged(rows.join(found.where("group_size > 1").select("digest"), "digest", "left_semi").select("row", "doc_id", "digest"))
-    bits = bitmap(hits.select("row"))
-
-    @F.pandas_udf("boolean")
-    def may(row: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(bits, row.to_numpy()))
-
-    asked = docs.where(may("_row")).select(F.col("_row").alias("row"), content.cast("binary").alias("content")).join(hits, "row").select("digest", "content", "doc_id", "row", F.lit(1).cast("long").alias("n"))
+    asked = marked(docs, "_row", hits.select("row")).select(F.col("_row").alias("row"), content.cast("binary").alias("content")).join(hits, "row").select("digest", "content", "doc_id", "row", F.lit(1).cast("long").alias("n"))
     collided = staged(by_content(asked))
     columns = ["row", "doc_id", "keep_id", "keep_row", "group_size", "sha"]
     if collided.isEmpty():

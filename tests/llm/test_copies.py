@@ -322,3 +322,21 @@ def test_rounds_leave_one_staged_table(spark):
     before = len(common._staged.get(app, []))
     got = components(spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
     assert {r.component for r in got.collect()} == {0} and len(common._staged[app]) == before + 1
+
+
+def test_marked_rows(spark, monkeypatch):
+    """The map finds all keys and few others; a map that is too small lets more rows through, never fewer."""
+    from laminaspark.llm import common
+
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("_row"), "id")
+    keys = rows.where("id % 7 = 0").select("_row")
+    for bits, most in ((1 << 24, 2900), (1 << 17, 5000), (1 << 15, 20_000)):
+        monkeypatch.setattr(common, "BITS", bits)
+        found = {r.id for r in common.marked(rows, "_row", keys).collect()}
+        assert found >= set(range(0, 20_000, 7)) and len(found) <= most
+        assert {r.id for r in common.marked(rows, "_row", keys, inside=False).collect()} == set(range(20_000)) - found
+    assert common.marked(rows, "_row", keys.limit(0)).count() == 0
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(50)], "doc_id long, text string")
+    tagged = common.identified(docs)
+    gone = tagged.where("_d.doc_id < 20").select("_row")
+    assert sorted(r.doc_id for r in common.without(tagged, gone).collect()) == list(range(20, 50))
