@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import reduce
 
 import numpy as np
@@ -29,8 +30,25 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes of a text that are hashed at once; each takes some fifty bytes of memory meanwhile.
+BLOCK = 1 << 18
+_GAP = re.compile(rb"[ \t-\r]")
+
+
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word (between ASCII white space, A-Z as a-z), over the whole text at once."""
+    """A 64-bit hash of each word (between ASCII white space, A-Z as a-z), over blocks of the text that end between words."""
+    if len(text) <= BLOCK:
+        return _hashes_of(text)
+    out, at = [], 0
+    while at < len(text):
+        gap = _GAP.search(text, at + BLOCK)
+        end = gap.start() if gap else len(text)
+        out.append(_hashes_of(text[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
+def _hashes_of(text: bytes) -> np.ndarray:
     raw = np.frombuffer(text, dtype=np.uint8)
     inside = ~_SPACE[raw]
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))

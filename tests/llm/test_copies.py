@@ -340,3 +340,12 @@ def test_marked_rows(spark, monkeypatch):
     tagged = common.identified(docs)
     gone = tagged.where("_d.doc_id < 20").select("_row")
     assert sorted(r.doc_id for r in common.without(tagged, gone).collect()) == list(range(20, 50))
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_word_hashes_in_blocks(monkeypatch, texts, block):
+    """Cutting a text between words changes no hash, with any white space and with words longer than a block."""
+    some = [t.encode() for t in list(texts.values())[:20] if t] + [b"", b" ", b"a\tb\x0bc \n d", b"x" * 300 + b" y", "漢字 ünï  x".encode()]
+    whole = [sketches.word_hashes(t) for t in some]
+    monkeypatch.setattr(sketches, "BLOCK", block)
+    assert all((sketches.word_hashes(t) == w).all() and len(sketches.word_hashes(t)) == len(w) for t, w in zip(some, whole, strict=True))
