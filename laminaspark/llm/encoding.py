@@ -21,23 +21,26 @@ from laminaspark.llm.common import over_batches, read, slices
 #: texts may add its own words to that).
 QUERY_CHARS, REMEMBERED = 1 << 17, 350_000
 
-#: A row of run is a token at a byte position of a word; -1 marks a position that a merge took. Each step looks only at words
-#: that the last step changed: among neighbouring tokens that the merge table joins, the least rank, leftmost first, is merged.
-#: A candidate is one number: rank, position and distance to the next token, the latter two in 23 bits each.
+#: A row of run is a token at a byte position of a word. Each step sees the words that the last step changed: among neighbouring
+#: tokens that the merge table joins, the least rank, leftmost first, is merged, and the word's rows go on without the one
+#: that the merge took. A word without such a pair is done: its rows come out, no longer live. A candidate is one number:
+#: rank, position and distance to the next token, the latter two in 23 bits each.
 CONTRACT = """
-WITH RECURSIVE run(w, p, t) USING KEY (w, p) AS (
-    SELECT w, p, t FROM pos
-  UNION
-    SELECT w, unnest([(best >> 23) & 8388607, ((best >> 23) & 8388607) + (best & 8388607)])::INT, unnest([best >> 46, -1])::INT FROM (
-        SELECT w, min((m::BIGINT << 46) | (p::BIGINT << 23) | (np - p)) AS best
-        FROM (SELECT w, p, t, lead(w) OVER o AS nw, lead(t) OVER o AS nt, lead(p) OVER o AS np FROM recurring.run
-              WHERE t >= 0 AND w IN (SELECT w FROM run) WINDOW o AS (ORDER BY w, p))
-        JOIN merges ON pair = t::BIGINT * 1048576 + nt WHERE nw = w GROUP BY w))
-SELECT w, p, t FROM run WHERE t >= 0
+WITH RECURSIVE run(w, p, t, live) AS (
+    SELECT w, p, t, true FROM pos
+  UNION ALL
+    SELECT r.w, r.p, CASE WHEN r.p = here THEN m ELSE t END, here IS NOT NULL FROM run r LEFT JOIN (
+        SELECT w, (best >> 46)::INT AS m, ((best >> 23) & 8388607)::INT AS here, (((best >> 23) & 8388607) + (best & 8388607))::INT AS taken FROM (
+            SELECT w, min((m::BIGINT << 46) | (p::BIGINT << 23) | (np - p)) AS best
+            FROM (SELECT w, p, t, lead(w) OVER o AS nw, lead(t) OVER o AS nt, lead(p) OVER o AS np FROM run WHERE live WINDOW o AS (ORDER BY w, p))
+            JOIN merges ON pair = t::BIGINT * 1048576 + nt WHERE nw = w GROUP BY w)) USING (w)
+    WHERE live AND r.p IS DISTINCT FROM taken)
+SELECT w, p, t FROM run WHERE NOT live
 """
 #: The same for long words, with many single steps in one. While the least rank stays the least, the steps would merge its
 #: pairs one after the other from the left; so all that don't overlap are merged at once, up to and with the first whose
-#: merge makes a neighbouring pair of a lower rank, which would come next. (A token's id is its rank.)
+#: merge makes a neighbouring pair of a lower rank, which would come next. (A token's id is its rank; -1 marks a position
+#: that a merge took.)
 CONTRACT_LONG = """
 WITH RECURSIVE run(w, p, t) USING KEY (w, p) AS (
     SELECT w, p, t FROM pos
