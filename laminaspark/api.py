@@ -204,6 +204,7 @@ class Reader:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.seen = self._state()
+        self.stills: dict[int, np.ndarray] = {}
         self.file = lvd.open_file(path)
         self.meta = self.file.meta
         self.fps = Fps(self.meta["fps"]["num"], self.meta["fps"]["den"])
@@ -288,7 +289,12 @@ class Reader:
         return self.decode(start, end, [key])
 
     def still(self, key: str | int) -> np.ndarray:
-        return codecs.png_decode(lvd.resource(self.path, self.meta, self._resolve([key])[0]))
+        """A still layer's picture, decoded once and not to be written to."""
+        k = self._resolve([key])[0]
+        if k not in self.stills:
+            self.stills[k] = codecs.png_decode(lvd.resource(self.path, self.meta, k))
+            self.stills[k].setflags(write=False)
+        return self.stills[k]
 
     def frames(self, start: int = 0, end: int | None = None, layers: Sequence | None = None, hide: Sequence = (), transparent: bool = False) -> DataFrame:
         """(frame, width, height, channels, data): the layers composited in z order. Frames without a picture show the

@@ -140,6 +140,19 @@ def playback(ticks: DataFrame, fps: Fps, count: int, late_us: int = 2_000_000) -
     return shown.withColumn("dropped", F.greatest(F.col("shown") - F.coalesce(before, F.lit(-1).cast("long")) - 1, F.lit(0).cast("long"))).withColumn("late_jump", jump)
 
 
+def playback_counters(ticks: DataFrame, keys: Sequence[str], time: str, fps: Fps, count: int, late_us: int = 2_000_000) -> DataFrame:
+    """What `playback` does over all ticks of a key, counted: frames shown, ticks that hold the frame shown already, frames
+    dropped, and late jumps. Ticks are summed up by frame first, so a key has `count` rows in the window at most."""
+    last = F.lit(count - 1).cast("long")
+    late = lambda t, before: (t - pts_us(F.least(before + 1, last), fps) > late_us).cast("long")
+    by_frame = ticks.withColumn("f", F.least(frame_at_us(F.col(time), fps), last)).groupBy(*keys, "f").agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("first"), F.sum(late(F.col(time), F.col("f"))).alias("late"))
+    before = F.coalesce(F.lag("f").over(Window.partitionBy(*keys).orderBy("f")), F.lit(-1).cast("long"))
+    # Only a frame's first tick follows another frame; of the others those after the last frame's time are late.
+    jumps = F.col("late") - late(F.col("first"), F.col("f")) + late(F.col("first"), F.col("before"))
+    sums = {"shown": F.lit(1), "held": F.col("n") - 1, "dropped": F.col("f") - F.col("before") - 1, "late_jumps": jumps}
+    return by_frame.withColumn("before", before).groupBy(*keys).agg(*(F.sum(c).cast("long").alias(n) for n, c in sums.items()))
+
+
 def released(state: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     """Frames in order up to the first incomplete one (column complete): a running `every`."""
     w = Window.partitionBy(*key).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)

@@ -13,13 +13,14 @@ from laminaspark.sources import lvd, testsrc
 from laminaspark.sources.layout import pack_index
 from laminaspark.sources.shared import local, shared_dir
 from laminaspark.sources.validate import faults, validate
+from laminaspark.streaming.reading import files
 from laminaspark.streaming.stateful import assemble_stream, sticky_stream
 
 
 def _event_stream(spark, sf):
     """The events table as a stream of files."""
     schema = table(spark, sf, "events").schema
-    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/events.parque[t]")
+    e = files(spark, f"{sf}/events.parque[t]", schema, 4)
     us = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
     layer = F.coalesce(*(F.when(F.col("event_type") == k, i) for i, k in enumerate(KINDS)))
     return e.withColumn("us", us).withColumn("frame", frame_at_us(F.col("us"), FPS)).withColumn("layer_index", layer.cast("int"))

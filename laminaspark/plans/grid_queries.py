@@ -433,3 +433,11 @@ def q76_remux(spark, sf):
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("new_index", "kind"))), lambda x: F.concat_ws(":", x["new_index"], x["kind"])), ",")
     flag = F.coalesce(F.every(F.when(F.col("kind") == 1, F.col("is_key"))), F.lit(True))
     return entries.groupBy("frame").agg(flag.alias("rap"), listed.alias("entries"))
+
+
+@query(f"""WITH {EV}, t AS (SELECT user_id, us, least(frame, 599) AS f, coalesce(lag(least(frame, 599)) OVER (PARTITION BY user_id ORDER BY us, event_id), -1) AS before FROM ev)
+SELECT user_id, count(*) FILTER (f <> before) AS shown, count(*) FILTER (f = before) AS held, CAST(sum(greatest(f - before - 1, 0)) AS BIGINT) AS dropped, count(*) FILTER (us - least(before + 1, 599) * 3600000000 > 2000000) AS late_jumps
+FROM t GROUP BY user_id""")
+def q78_playback_counters(spark, sf):
+    """Each user's events as clock ticks over a file that ends before the last of them."""
+    return grid.playback_counters(events(spark, sf), ["user_id"], "us", FPS, 600)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from laminaspark.streaming.reading import files
 from laminaspark.streaming.stateful import assemble_stream, sticky_stream
 
 
@@ -43,3 +44,12 @@ def test_lost_planes(spark, tmp_path):
     assert got == [(0, False), (1, True), (2, False), (3, False), (4, False)]
     waits = [(r.frame, r.lost) for r in run(spark, tmp_path / "w", batches[:3], PLANES, lambda s: assemble_stream(s, (0, 1), 24)).collect()]
     assert waits == [(0, False)]
+
+
+@pytest.mark.parametrize(("limit", "sizes"), [({"most_files": 4}, [4, 4, 1]), ({"most_bytes": 1}, [1] * 9)])
+def test_bounded_micro_batches(spark, tmp_path, limit, sizes):
+    for k in range(9):
+        spark.createDataFrame([(k,)], "k int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = files(spark, str(tmp_path / "in"), "k int", **limit).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]] == sizes
