@@ -169,22 +169,30 @@ BUCKET_ROWS, BUCKETS = 2048, 20_000
 def in_order(docs: DataFrame) -> DataFrame:
     """(doc_id, text, bucket, extra): partitions sorted by doc_id, one bucket each, so that each row's successor follows it.
     The first row of the next bucket comes once more as the last row of a bucket (extra = 1; after the last bucket the very
-    first row). Text moves once. Cuts are quantiles of doc_id; a list of BUCKETS cuts and first rows at most."""
+    first row). Text moves once. Cuts are quantiles of doc_id; a list of BUCKETS cuts and first rows at most. An id (or null)
+    that so many rows share that it is several quantiles has as many buckets, by ranges of the hash of the text, which its
+    rows are sorted by; only then the first pass reads texts."""
     spark = docs.sparkSession
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_at"))
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_at"), F.coalesce("text", F.lit("")).alias("text"))
     rows = ids.count()
     n = min(BUCKETS, rows // BUCKET_ROWS + 1)
-    cuts = np.unique(np.array(ids.stat.approxQuantile("_at", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else [], dtype=np.int64))
+    cuts = np.sort(np.array(ids.stat.approxQuantile("_at", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else [], dtype=np.int64))
+    hot = np.unique(cuts[1:][cuts[1:] == cuts[:-1]]).tolist()
+    spread = F.when(F.col("_at").isin(hot), F.xxhash64("text")).otherwise(F.lit(0).cast("long")) if hot else F.lit(0).cast("long")
 
     @F.pandas_udf("int")
-    def bucket(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, at.to_numpy(), side="right").astype(np.int32))
-
-    firsts = ids.groupBy(bucket("_at").alias("bucket")).agg(F.min("_at").alias("_at")).orderBy("bucket").collect()
-    give = [(r["_at"], firsts[k - 1]["bucket"]) for k, r in enumerate(firsts)]  # the first row of all goes to the last bucket
-    to = spark.createDataFrame(give, "_at long, _to int")
-    all_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_at"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = all_rows.withColumn("_own", bucket("_at")).join(F.broadcast(to), "_at", "left")
+    def bucket(at: pd.Series, spread: pd.Series) -> pd.Series:
+        low, high = (np.searchsorted(cuts, at.to_numpy(), side=side) for side in ("left", "right"))
+        parts = high - low
+        share = np.floor((spread.to_numpy() / 2.0**64 + 0.5) * parts).astype(np.int64)
+        return pd.Series(np.where(parts > 1, low + 1 + np.minimum(share, parts - 1), high).astype(np.int32))
+
+    least = F.min(F.struct("_at", "_spread")) if hot else F.struct(F.min("_at").alias("_at"), F.lit(0).cast("long").alias("_spread"))
+    firsts = ids.withColumn("_spread", spread).groupBy(bucket("_at", "_spread").alias("bucket")).agg(least.alias("first")).orderBy("bucket").collect()
+    give = [(r["first"]["_at"], r["first"]["_spread"], firsts[k - 1]["bucket"]) for k, r in enumerate(firsts)]  # the first row of all goes to the last bucket
+    to = spark.createDataFrame(give, "_at long, _spread long, _to int")
+    all_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_at"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_spread", spread)
+    dealt = all_rows.withColumn("_own", bucket("_at", "_spread")).join(F.broadcast(to), ["_at", "_spread"], "left")
     here, there = F.struct(F.col("_own").alias("bucket"), F.lit(0).alias("extra")), F.struct(F.col("_to").alias("bucket"), F.lit(1).alias("extra"))
     copies = dealt.withColumn("_c", F.explode(F.when(F.col("_to").isNull(), F.array(here)).otherwise(F.array(here, there))))
     return copies.select("doc_id", "text", F.col("_c.bucket").alias("bucket"), F.col("_c.extra").alias("extra"), "_at").repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("extra", "_at", F.xxhash64("text")).select("doc_id", "text", "extra")

@@ -279,6 +279,21 @@ def test_fingerprints_in_buckets(monkeypatch, docs):
     assert {tuple(r) for r in sketches.with_edited(docs.repartition(5)).collect()} == whole
 
 
+def test_fingerprints_of_hot_ids(monkeypatch, spark):
+    """Two thirds of the rows share an id (a null among them): their buckets stay small, and each row meets its successor."""
+    monkeypatch.setattr(sketches, "BUCKET_ROWS", 20)
+    ids = [None] * 400 + [7] * 400 + list(range(-200, 200))
+    docs = spark.createDataFrame([(d, f"text {k % 390} of id {d}") for k, d in enumerate(ids)], "doc_id long, text string").repartition(4)
+    sizes = sketches.in_order(docs).where("extra = 0").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 60 and sum(r["count"] for r in sizes) == 1200
+    hashed = docs.withColumn("h", F.xxhash64("text")).collect()
+    rows = sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    want = Counter()
+    for r, following in zip(rows, [*rows[1:], rows[0]], strict=True):
+        want[r.doc_id, hashlib.sha256(sketches.edited(r.text, following.text).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in sketches.with_edited(docs).collect()) == want
+
+
 def test_fingerprints_of_odd_rows(spark, odd, none):
     got = sketches.with_edited(odd).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in odd.select("doc_id").collect())
