@@ -61,7 +61,11 @@ def superframe(data: Column) -> Column:
 
 
 def describe_vp9(data: Column) -> Column:
-    h = vp9_header(data)
+    return describe_header(vp9_header(data))
+
+
+def describe_header(h: Column) -> Column:
+    """The struct of `vp9_header` in words."""
     size = F.concat(h["width"].cast("string"), F.lit("x"), h["height"].cast("string"))
     rest = F.concat(F.lit("cs="), h["color_space"].cast("string"), F.lit(" range="), F.when(h["color_range"] == 1, "full").otherwise("limited"))
     return F.when(~F.coalesce(h["marker_ok"], F.lit(False)), "unparseable").otherwise(F.concat_ws(", ", F.when(h["key"], "key").otherwise("inter"), size, F.when(h["width"].isNotNull(), rest)))

@@ -40,10 +40,10 @@ def test_against_sql(spark, sf, db, name):
     assert got == rows((dict(zip(want.columns, r, strict=True)) for r in want.fetchall()), names)
 
 
-@pytest.mark.parametrize(("name", "made", "key"), [("q45_format", "events", "event_id")])
+@pytest.mark.parametrize(("name", "made", "key"), [("q45_format", "events", "event_id"), ("q71_describe", "embeddings", "vec_id")])
 def test_large_numbers_against_sql(spark, sf, tmp_path, name, made, key):
-    """Ids of six digits and more."""
-    c, (low, high) = duckdb.connect(), {"event_id": (99_990, 10**9)}[key]
+    """Ids of six digits and more, and of more than 16 bits."""
+    c, (low, high) = duckdb.connect(), {"event_id": (99_990, 10**9), "vec_id": (65_530, (1 << 31) - 1)}[key]
     c.execute(f"COPY (SELECT t.* REPLACE (CAST(CASE WHEN {key} % 2 = 0 THEN {low} + {key} ELSE {high} - {key} * 1000003 END AS BIGINT) AS {key}) FROM '{sf}/{made}.parquet' t) TO '{tmp_path}/{made}.parquet'")
     want = c.sql(ORACLE[name].replace(f"FROM {made}", f"FROM '{tmp_path}/{made}.parquet'"))
     got = QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
