@@ -78,3 +78,51 @@ def test_wide_prints_of_alike_sets_are_near():
 def test_joining():
     i, j, label = near.joining(np.array([0, 5, 2, 3, 1]), np.array([1, 6, 3, 1, 0]), np.arange(8))
     assert label.tolist() == [0, 0, 0, 0, 4, 5, 5, 7] and len(i) == 4
+
+
+def test_stage_links_by_simhash_and_finds_the_rest(spark, monkeypatch):
+    """Alike sets whose SimHash differs in few bits are linked through anchors alone; those beyond aren't lost, and the exact
+    path sees no pair that is linked already."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for base in range(120):
+        text = [f"b{base}w{k}" for k in range(90)]
+        other = text[:]
+        for at in rng.integers(0, 90, base % 3):
+            other[at] = f"b{base}e{at}"
+        rows += [(2 * base + 1, " ".join(text)), (2 * base + 2, " ".join(other + ["end"]))]
+    bits = {d: int(near.wide_print(near._tokens(t))[0]) for d, t in rows}
+    pairs = [(d, d + 1) for d in range(1, 240, 2) if jaccard(shingles(rows[d - 1][1]), shingles(rows[d][1])) >= 0.8]
+    reached = {a for a, b in pairs if ((bits[a] ^ bits[b]) & (1 << 64) - 1).bit_count() <= near.reach(240)[0]}
+    assert len(reached) > 60 and len(reached) < len(pairs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(r.doc_id for r in corpus_pipeline.simhash_near(spark, docs, "").collect()) == smallest(rows)
+    rest = near.by_prefixes
+    seen = []
+
+    def nothing(nodes, known):
+        seen.append(rest(nodes, known).groupBy("cluster").agg({"known": "count"}).count())
+        return rest(nodes, known).where("false")
+
+    monkeypatch.setattr(near, "by_prefixes", nothing)
+    kept = {r.doc_id for r in corpus_pipeline.simhash_near(spark, docs, "").collect()}
+    assert {d + 1 for d in reached} == {d for d, _ in rows} - kept
+    assert seen[0] >= len(pairs) - len(reached) and seen[0] <= 120 - len(reached)
+
+
+@pytest.mark.parametrize("distinct, bits", [(1_000, 11), (5_000_000, 7), (50_000_000, 5)])
+def test_reach(distinct, bits):
+    """Fingerprints that differ in that many bits meet in an anchor of some block, whatever the bits."""
+    rng = np.random.default_rng(bits)
+    threshold, blocks = near.reach(distinct)
+    assert threshold == bits
+    a = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    b = a.copy()
+    for k in range(len(b)):
+        for at in rng.choice(64, bits, replace=False):
+            b[k] ^= np.uint64(1) << np.uint64(at)
+    met = np.zeros(len(a), dtype=bool)
+    for block in blocks:
+        anchors, there = block.copies(b)
+        met |= ((block.copies(a)[0][:, :1] == anchors) & there).any(axis=1)
+    assert met.all()
