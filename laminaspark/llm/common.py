@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
@@ -208,6 +209,66 @@ def join_hot(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame
     return dealt.join(every, [key, "_salt"]).drop("_salt")
 
 
+def joining(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of links between positions those that join two sets (a label each), and the labels after that: each set goes over to
+    the least that a link leads to, until no link is left between two sets."""
+    kept_i, kept_j = [i[:0]], [j[:0]]
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return np.concatenate(kept_i), np.concatenate(kept_j), label
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        order = np.lexsort((low, high))
+        first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
+        kept_i.append(i[first])
+        kept_j.append(j[first])
+        up = np.arange(int(label.max()) + 1)
+        up[high[first]] = low[first]
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
+
+#: Links that a task holds before it sends some on.
+STARS = 500_000
+
+
+def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between longs, as links from each node to the smallest that a task's links lead to: however many links a
+    dense group has, no more go on than the task has nodes. (Beyond STARS nodes they go on in portions, of which that holds.)"""
+    held, size = [], 0
+
+    def reduced() -> tuple[np.ndarray, np.ndarray]:
+        a, b = map(np.concatenate, zip(*held, strict=True))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = joining(at[: len(a)], at[len(a) :], np.arange(len(nodes)))[2]
+        away = label != np.arange(len(nodes))
+        return nodes[away], nodes[label[away]]
+
+    def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for x in batches:
+        held.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
+        size += x.num_rows
+        if size > STARS:
+            held = [reduced()]
+            size = len(held[0][0])
+            if 2 * size > STARS:
+                yield batch(*held[0])
+                held, size = [], 0
+    if size:
+        yield batch(*reduced())
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (a, b) that `stars` made task by task, fewer still: a node's links meet in one task, which links the node once, and
+    the few nodes that its tasks chose to each other. So the links follow the nodes, not the pairs of a group."""
+    return links.repartition("a").mapInArrow(stars, "a long, b long")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (node, component), component the smallest node.
 

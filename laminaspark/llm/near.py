@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laminaspark.llm import simhash
-from laminaspark.llm.common import LOWER, UPPER, components, identified, join_hot, marked, over_batches, slices, staged, without
+from laminaspark.llm.common import LOWER, UPPER, components, contracted, identified, join_hot, joining, marked, over_batches, slices, staged, stars, without
 from laminaspark.llm.sketches import _mix, shingle_hashes
 
 #: Documents whose shingles are looked at for common ones; how often one must occur there; how many are told apart at most.
@@ -158,28 +158,6 @@ def within(cell: np.ndarray, n: np.ndarray, own: np.ndarray, whole: np.ndarray,
         yield i, i + d
 
 
-def joining(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of links between positions those that join two sets (a label each), and the labels after that: each set goes over to
-    the least that a link leads to, until no link is left between two sets."""
-    kept_i, kept_j = [i[:0]], [j[:0]]
-    while True:
-        a, b = label[i], label[j]
-        apart = a != b
-        if not apart.any():
-            return np.concatenate(kept_i), np.concatenate(kept_j), label
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        high, low = np.maximum(a, b), np.minimum(a, b)
-        order = np.lexsort((low, high))
-        first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
-        kept_i.append(i[first])
-        kept_j.append(j[first])
-        up = np.arange(int(label.max()) + 1)
-        up[high[first]] = low[first]
-        while (up[up] != up).any():
-            up = up[up]
-        label = up[label]
-
-
 #: Links gathered before they are reduced to those that join.
 LINKS = 500_000
 
@@ -223,7 +201,8 @@ def _clusters(cells: DataFrame) -> DataFrame:
                 rows = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["a", "b"])
 
-    return components(_tiled(cells, "token", ["known", *_PRINT]).mapInArrow(run, "a long, b long"))
+    dealt = _tiled(cells, "token", ["known", *_PRINT])
+    return components(contracted(dealt.mapInArrow(lambda batches: stars(run(batches)), "a long, b long")))
 
 
 def alike(n: np.ndarray, own: np.ndarray, whole: bool, known: np.ndarray, prints: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -250,7 +229,7 @@ def alike(n: np.ndarray, own: np.ndarray, whole: bool, known: np.ndarray, prints
 
 
 def _verified(members: DataFrame) -> DataFrame:
-    """(a, b): links between members of a cluster, verified on their sets. Rows (cluster, parts, node, n, known, fingerprint, tokens)."""
+    """(a, b), contracted: links between members of a cluster, verified on their sets. Rows (cluster, parts, node, n, known, fingerprint, tokens)."""
 
     def run(batches):
         held: list = []
@@ -273,7 +252,8 @@ def _verified(members: DataFrame) -> DataFrame:
         if held:
             yield from send()
 
-    return _tiled(members, "cluster", ["known", *_PRINT, "tokens"]).mapInArrow(run, "a long, b long")
+    dealt = _tiled(members, "cluster", ["known", *_PRINT, "tokens"])
+    return contracted(dealt.mapInArrow(lambda batches: stars(run(batches)), "a long, b long"))
 
 
 def _whole_cells(batches):

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminaspark.llm.common import LOWER, UPPER, components, join_hot, over_batches, read, slices, staged
+from laminaspark.llm.common import LOWER, UPPER, components, contracted, join_hot, over_batches, read, slices, staged, stars
 
 WORDS, SEED, THRESHOLD = 4, 42, 4
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -258,7 +258,7 @@ def links(distinct: DataFrame, count: int, threshold: int = THRESHOLD, cover: Se
 
     key = F.shiftleft("cell", 27).bitwiseOR(F.col("tile"))  # 36 bits of cell, 27 of tile
     dealt = copies.select(key.alias("key"), "fp", "home").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(near, "a long, b long").distinct()
+    return contracted(dealt.mapInArrow(lambda batches: stars(near(batches)), "a long, b long"))
 
 
 def near_components(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -3,10 +3,11 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from laminaspark.llm import near
+from laminaspark.llm import common, near
 from tests.llm.test_copies import jaccard, shingles
 
 
@@ -126,3 +127,54 @@ def test_reach(distinct, bits):
         anchors, there = block.copies(b)
         met |= ((block.copies(a)[0][:, :1] == anchors) & there).any(axis=1)
     assert met.all()
+
+
+def test_links_follow_the_nodes_of_a_dense_group(spark, monkeypatch):
+    """Near copies that are nearly all alike to each other: what goes to the components grows with the documents, not their pairs."""
+    spread = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in spread}
+    find, seen = near.components, []
+
+    def counted(edges):
+        ends = [(r.a, r.b) for r in edges.select("a", "b").collect()]
+        seen.append((len(ends), len({x for e in ends for x in e})))
+        return find(edges)
+
+    monkeypatch.setattr(near, "components", counted)
+    monkeypatch.setattr(near, "TOKENS", 5_000)
+    text = [f"w{k}" for k in range(150)]
+    copies = [" ".join(w if k != d % 150 else f"x{d}" for k, w in enumerate(text)) for d in range(400)]
+    rows = [*enumerate(copies), *((1000 + d, f"{d} is none of them at all {d} {d + 1}") for d in range(50))]
+    try:
+        for k, v in spread.items():
+            spark.conf.set(k, v)
+        got = Counter(r.doc_id for r in near.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == smallest(rows) and len(got) == 51
+    assert seen[0][1] > 300 and all(links <= 2 * nodes for links, nodes in seen)
+
+
+@pytest.mark.parametrize("most", [500_000, 300, 20])
+def test_stars(monkeypatch, most):
+    """Links become fewer than nodes and still connect what they connected; in portions, too."""
+    monkeypatch.setattr(common, "STARS", most)
+    rng = np.random.default_rng(8)
+    a, b = (np.concatenate([rng.integers(-300, 300, 400), rng.integers(1000, 1060, 2000)]) for _ in range(2))
+    batches = [pa.RecordBatch.from_arrays([pa.array(a[k : k + 90]), pa.array(b[k : k + 90])], names=["a", "b"]) for k in range(0, len(a), 90)]
+    out = [(x, y) for batch in common.stars(iter([*batches, batches[0].slice(0, 0)])) for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+
+    def least(pairs):
+        up = {x: x for p in zip(a.tolist(), b.tolist(), strict=True) for x in p}
+        root = lambda x: x if up[x] == x else root(up[x])
+        for x, y in pairs:
+            p, q = sorted((root(x), root(y)))
+            up[q] = p
+        return {x: root(x) for x in up}
+
+    want = least(zip(a.tolist(), b.tolist(), strict=True))
+    assert least(out) == want and all(x > y for x, y in out)
+    if most > len(a):
+        assert set(out) == {(x, y) for x, y in want.items() if x != y}
+    assert list(common.stars(iter([]))) == list(common.stars(iter([batches[0].slice(0, 0)]))) == []
